@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm import conversations
+from mnemora.llm import conversations, encoding, leakage, splitting
 from mnemora.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,74 @@ ORACLES["p3_conversations"] = _P3 + (
     "SELECT t AS thread_id, row_number() OVER (PARTITION BY t ORDER BY ts, id) AS turn_no, id AS message_id, r AS speaker, ts AS sent_at, content "
     "FROM m WHERE t IN (SELECT t FROM kept)"
 )
+
+
+# -- 4: oversized items ------------------------------------------------------------------------------
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of messages and memories as items."""
+    each = [
+        table(spark, sf_dir, n).select(F.lit(n).alias("table_name"), F.col("id").alias("record_id"), F.lit("content").alias("field_name"), F.col("content").alias("text"))
+        for n in ("messages", "memories")
+    ]
+    return each[0].unionByName(each[1])
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items larger than their limit: those that were cut."""
+    return p4_pieces(spark, sf_dir).where("piece_no = 2").select("table_name", "record_id").distinct()
+
+
+@query
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized item."""
+    return splitting.pieces(_items(spark, sf_dir), table(spark, sf_dir, "size_limits"))
+
+
+ORACLES["p4_found"] = """
+SELECT DISTINCT 'messages' AS table_name, id AS record_id FROM messages, size_limits l
+WHERE l.table_name = 'messages' AND l.field_name = 'content' AND length(content) > l.max_size
+UNION ALL
+SELECT DISTINCT 'memories', id FROM memories, size_limits l
+WHERE l.table_name = 'memories' AND l.field_name = 'content' AND strlen(content) > l.max_size
+"""
+
+# -- 8: leaked evaluation texts ----------------------------------------------------------------------
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the test items that they give away."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+@query
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest leaked span of each document and test item."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+ORACLES["p8_found"] = r"""
+WITH e AS (SELECT item_id, regexp_replace(lower(t), '[^\p{L}\p{N}]', '', 'g') AS t
+           FROM (SELECT item_id, unnest([question, answer, evidence]) AS t FROM eval_items)),
+grams AS (SELECT DISTINCT item_id, substr(t, i, 50) AS g FROM (SELECT item_id, t, unnest(range(1, length(t) - 48)) AS i FROM e WHERE length(t) >= 50)),
+d AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM documents),
+windows AS (SELECT doc_id, substr(t, i, 50) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - 48)) AS i FROM d WHERE length(t) >= 50))
+SELECT DISTINCT doc_id, item_id FROM windows JOIN grams USING (g)
+"""
+
+# -- 9: wrong character encoding ---------------------------------------------------------------------
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with garbled text."""
+    return encoding.garbled(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+@query
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affected documents with the encoding chains and the restored text."""
+    return encoding.garbled(table(spark, sf_dir, "documents"))

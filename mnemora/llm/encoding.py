@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from mnemora.llm.common import batch, chunks
 
 #: Bounds of the training sample: documents for each language label, lines for each label, characters of a line.
-SAMPLE_DOCUMENTS, SAMPLE_LINES, SAMPLE_CHARS = 400, 1500, 400
+SAMPLE_DOCUMENTS, SAMPLE_LINES, SAMPLE_CHARS = 400, 600, 300
 #: Size of the hashed feature space.
 FEATURES = 1 << 13
-CLEAN = 0
+#: Least gain of a repair, in nats: for each bigram, and over the whole text.
+GAIN, TOTAL_GAIN = 0.5, 8.0
 
 _SINGLE = ("latin-1", "cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "iso8859-15", "iso8859-2")
 _MULTI = ("gbk", "big5", "cp932", "euc_jp", "euc_kr")
@@ -36,13 +37,14 @@ _MULTI = ("gbk", "big5", "cp932", "euc_jp", "euc_kr")
 def _chains() -> list[tuple[str, ...]]:
     """Chains as (written as, read as, ...) pairs in the order they happened."""
     out: list[tuple[str, ...]] = [("utf-8", w) for w in (*_SINGLE, *_MULTI)]
-    out += [(s, w) for s in ("gbk", "big5", "cp932", "euc_jp") for w in ("latin-1", "cp1252", "mac_roman", "cp437", "cp1251", "koi8-r", "cp1250")]
-    out += [(s, w) for s in ("gbk", "big5", "cp932", "euc_jp") for w in ("gbk", "big5", "cp932", "euc_jp", "euc_kr") if s != w]
-    cyrillic = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic")
-    out += [(s, w) for s in cyrillic for w in (*cyrillic, "latin-1", "cp1252", "mac_roman", "cp437", "cp1250") if s != w]
-    western = ("cp1252", "mac_roman", "cp850", "cp437")
-    out += [(s, w) for s in western for w in (*western, "cp1251", "cp1250", "koi8-r", "cp866", "iso8859-5", "iso8859-7", "gbk", "cp932", "big5") if s != w]
-    out += [("utf-8", a, "utf-8", b) for a in ("latin-1", "cp1252", "mac_roman", "cp437", "cp1251", "cp1250") for b in ("latin-1", "cp1252", "mac_roman", "cp437", "cp1251", "cp1250")]
+    out += [(s, w) for s in ("gbk", "big5", "cp932", "euc_jp", "euc_kr") for w in ("latin-1", "cp1252")]
+    out += [(s, w) for s in ("gbk", "big5", "cp932", "euc_jp") for w in ("gbk", "big5", "cp932", "euc_kr") if s != w]
+    cyrillic = ("cp1251", "koi8-r", "cp866")
+    out += [(s, w) for s in cyrillic for w in (*cyrillic, "cp1252", "latin-1") if s != w]
+    out += [("cp1252", w) for w in ("cp437", "cp850", "mac_roman", "cp1251", "cp1250", "koi8-r", "cp866", "gbk", "cp932", "big5")]
+    out += [(s, "cp1252") for s in ("mac_roman", "cp437", "cp850")]
+    out += [("utf-8", a, "utf-8", b) for a in ("latin-1", "cp1252") for b in ("latin-1", "cp1252")]
+    out += [("utf-8", w, "utf-8", w) for w in ("mac_roman", "cp437", "cp1251")]
     return out
 
 
@@ -119,15 +121,28 @@ def _features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """weights: log probabilities, features by classes (class 0 is clean, class k is CHAINS[k - 1]); prior: by class."""
+    """weights: log probabilities, features by classes; prior: by class.
+
+    The first n_clean classes are clean text, one for each language label and one of all; the class
+    n_clean + k is CHAINS[k].
+    """
 
     weights: np.ndarray
     prior: np.ndarray
+    n_clean: int
+
+    def gain(self, old: str, new: str) -> tuple[float, float]:
+        """By how much the new text reads more like clean text: for each bigram, and in all."""
+        (n, before), (_, after) = (self._clean(x) for x in (old, new))
+        return after - before, (after - before) * n
 
-    def clean_score(self, text: str) -> float:
-        """Mean log probability of the bigrams under the clean class; 0 where there is none."""
+    def _clean(self, text: str) -> tuple[int, float]:
         _, f = _features(np.frombuffer(b"\n" + text.encode("utf-8", "replace") + b"\n", dtype=np.uint8))
-        return float(self.weights[f, CLEAN].mean()) if len(f) else 0.0
+        return len(f), float(self.weights[f, : self.n_clean].mean(axis=0).max()) if len(f) else 0.0
+
+    def suspects(self, scores: np.ndarray) -> np.ndarray:
+        """Where a chain is likelier than clean text."""
+        return scores[:, self.n_clean :].max(axis=1) > scores[:, : self.n_clean].max(axis=1)
 
     def score_lines(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the lines with non-ASCII bytes, and their scores by class."""
@@ -138,7 +153,7 @@ class Model:
         line = np.searchsorted(newline, at)
         start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
         scores = np.empty((len(start), len(self.prior)), dtype=np.float32)
-        step = 1 << 16  # rows of weights gathered at once
+        step = 1 << 15  # rows of weights gathered at once
         bounds = np.append(start, len(f))
         k = 0
         while k < len(start):
@@ -152,61 +167,62 @@ class Model:
         return line[start], scores + self.prior
 
 
-def fit(lines: list[str]) -> Model:
-    """Fit on clean lines; lines that prove garbled under a first fit are left out of the second."""
-    lines = [x for x in dict.fromkeys(lines) if not x.isascii() and "�" not in x]
-    model = _fit(lines)
-    kept = [x for x in lines if not repaired(x, model)]
-    return _fit(kept) if len(kept) < len(lines) else model
+def _bytes(lines: list[str]) -> np.ndarray:
+    return np.frombuffer(("\n" + "\n".join(x.replace("\n", " ") for x in lines) + "\n").encode("utf-8", "replace"), dtype=np.uint8)
 
 
-def _fit(lines: list[str]) -> Model:
-    counts = np.full((FEATURES, len(CHAINS) + 1), 0.05, dtype=np.float64)
-    seen = np.zeros(len(CHAINS) + 1)
-    for k in range(len(CHAINS) + 1):
-        own = lines if k == CLEAN else [g for x in lines if (g := garble(x, CHAINS[k - 1])) is not None and g != x]
-        seen[k] = len(own)
-        _, f = _features(np.frombuffer(("\n" + "\n".join(x.replace("\n", " ") for x in own) + "\n").encode("utf-8", "replace"), dtype=np.uint8))
-        counts[:, k] += np.bincount(f, minlength=FEATURES)
-    weights = np.log(counts / counts.sum(axis=0)).astype(np.float32)
-    prior = np.full(len(CHAINS) + 1, np.log(0.05 / len(CHAINS)))
-    prior[CLEAN] = np.log(0.95)
-    prior[seen == 0] = -1e9
-    return Model(weights, prior.astype(np.float32))
+def fit(lines: list[tuple[str, str]]) -> Model:
+    """Fit on clean (label, line) pairs; lines that prove garbled under a first fit are left out of the second."""
+    lines = [(label, x) for label, x in lines if not x.isascii() and "\ufffd" not in x]
+    model = _fit(lines)
+    numbers, scores = model.score_lines(_bytes([x for _, x in lines]))
+    suspect = model.suspects(scores)
+    bad = {int(n) - 1 for n, s in zip(numbers[suspect], scores[suspect], strict=True) if repaired(lines[int(n) - 1][1], model, s)}
+    return _fit([x for n, x in enumerate(lines) if n not in bad]) if bad else model
+
+
+def _fit(lines: list[tuple[str, str]]) -> Model:
+    # Capitals, no-break spaces and typographic marks are as right in clean text as what they stand for.
+    clean = lines + [(label, x.upper()) for label, x in lines[::6]] + [(label, x.replace(" ", "\xa0", n)) for n in (3, -1) for label, x in lines[::6]]
+    labels = sorted({label for label, _ in lines})
+    texts = [x for _, x in lines]
+    groups = [[x for label, x in clean if label == own] for own in labels] + [[x for _, x in clean]]
+    groups += [[g for x in texts if (g := garble(x, chain)) is not None and g != x] for chain in CHAINS]
+    counts = np.full((FEATURES, len(groups)), 0.05, dtype=np.float64)
+    for k, own in enumerate(groups):
+        counts[:, k] += np.bincount(_features(_bytes(own))[1], minlength=FEATURES)
+    prior = np.full(len(groups), np.log(0.05 / len(CHAINS)))
+    prior[: len(labels) + 1] = np.log(0.95 / (len(labels) + 1))
+    prior[[not own for own in groups]] = -1e9
+    return Model(np.log(counts / counts.sum(axis=0)).astype(np.float32), prior.astype(np.float32), len(labels) + 1)
 
 
 _RUN = re.compile(r"[^\x00-\x7f]+(?:[\x40-\x7e]?[^\x00-\x7f]+)*[\x40-\x7e]?")
 
 
-def _better(old: str, new: str, model: Model) -> bool:
-    if "�" in new or any("\x7f" <= c <= "\x9f" or c < " " and c not in "\t\r" for c in new if c not in old):
+def _better(old: str, new: str, model: Model, total: float = TOTAL_GAIN) -> bool:
+    if "\ufffd" in new or any(("\x7f" <= c <= "\x9f" or c < " ") and c not in old for c in new):
         return False
-    return model.clean_score(new) > model.clean_score(old) + 0.5
+    each, whole = model.gain(old, new)
+    return each > GAIN and whole > total
 
 
-def repaired(line: str, model: Model, scores: np.ndarray | None = None, tries: int = 5) -> tuple[str, str] | None:
+def repaired(line: str, model: Model, scores: np.ndarray, tries: int = 5) -> tuple[str, str] | None:
     """(restored line, chain) if the line is garbled and can be restored, else None.
 
     The classifier's best chains are tried in order. Where the whole line can't be inverted, its
     non-ASCII runs are inverted each for itself, and those that can't stay as they are.
     """
-    if scores is None:
-        _, rows = model.score_lines(np.frombuffer(b"\n" + line.replace("\n", " ").encode("utf-8", "replace") + b"\n", dtype=np.uint8))
-        if not len(rows):
-            return None
-        scores = rows[0]
-    best = np.argsort(-scores)[:tries]
-    order = [k for k in best if scores[k] > scores[CLEAN]]
+    clean = scores[: model.n_clean].max()
+    order = [int(k) for k in np.argsort(-scores[model.n_clean :])[:tries] if scores[model.n_clean + k] > clean]
     for k in order:
-        chain = CHAINS[k - 1]
-        new = ungarble(line, chain)
+        new = ungarble(line, CHAINS[k])
         if new is not None and _better(line, new, model):
-            return new, " > ".join(chain)
+            return new, " > ".join(CHAINS[k])
     for k in order:
-        chain = CHAINS[k - 1]
-        new = _RUN.sub(lambda m, c=chain: x if (x := ungarble(m.group(), c)) is not None and _better(m.group(), x, model) else m.group(), line)
+        new = _RUN.sub(lambda m, c=CHAINS[k]: x if (x := ungarble(m.group(), c)) is not None and _better(m.group(), x, model, 0) else m.group(), line)
         if new != line and _better(line, new, model):
-            return new, " > ".join(chain)
+            return new, " > ".join(CHAINS[k])
     return None
 
 
@@ -214,8 +230,8 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("chains", pa.list_(pa.string())), (
 _FOUND_DDL = "doc_id long, chains array<string>, n_lines long, n_lost long, text string"
 
 
-def training_lines(documents: DataFrame) -> list[str]:
-    """Lines of a bounded sample: the documents with the smallest hashes, as many of each language label."""
+def training_lines(documents: DataFrame) -> list[tuple[str, str]]:
+    """(language label, line) pairs of a bounded sample: the documents with the smallest hashes, as many of each language label."""
     ranked = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     rows = (
         documents.where("text IS NOT NULL")
@@ -231,7 +247,7 @@ def training_lines(documents: DataFrame) -> list[str]:
     for lang, x in picked.select("lang", F.slice(F.transform("x", lambda v: F.left(v, F.lit(SAMPLE_CHARS))), 1, 40)).sort("lang", F.xxhash64("x")).toLocalIterator():
         own = found.setdefault(lang, [])
         own += x[: max(0, SAMPLE_LINES - len(own))]
-    return [x for own in found.values() for x in own]
+    return [(lang, x) for lang, own in found.items() for x in own]
 
 
 def garbled(documents: DataFrame) -> DataFrame:
@@ -266,7 +282,7 @@ def _affected(texts: list[str], model: Model) -> Iterator[tuple[int, tuple[list[
     first = np.cumsum([0, *map(len, split)])
     data = np.frombuffer(("\n".join(texts) + "\n").encode("utf-8", "replace"), dtype=np.uint8)
     lines, scores = model.score_lines(data)
-    suspect = scores.argmax(axis=1) != CLEAN if len(lines) else np.zeros(0, dtype=bool)
+    suspect = model.suspects(scores) if len(lines) else np.zeros(0, dtype=bool)
     lost_bytes = np.flatnonzero((data[:-2] == 0xEF) & (data[1:-1] == 0xBF) & (data[2:] == 0xBD)) if len(data) > 2 else np.zeros(0, dtype=np.int64)
     lost = set(np.unique(np.searchsorted(np.flatnonzero(data == 10), lost_bytes)).tolist())
     todo = {int(n): s for n, s in zip(lines[suspect], scores[suspect], strict=True)} | {n: None for n in lost}

@@ -65,9 +65,7 @@ class Probe:
             raise ValueError(f"the test items hold {len(self.chars)} characters; at most {MOST_CHARS} are broadcast")
         self.ids = np.array([i for i, _ in items], dtype=np.int64)
         self.owner = np.repeat(np.arange(len(items)), np.diff(self.start))
-        self.power = np.ones(self.block, dtype=np.uint64)
-        for k in range(1, self.block):
-            self.power[k] = self.power[k - 1] * np.uint64(0x9E3779B97F4A7C15 | 1)
+        self.power = np.cumprod(np.append(np.uint64(1), np.full(self.block - 1, 0x9E3779B97F4A7C15, dtype=np.uint64)), dtype=np.uint64)
         at = np.array(
             [p for a, b in zip(self.start[:-1], self.start[1:], strict=True) if b - a >= run for p in range(a, b - self.block + 1)], dtype=np.int64
         )

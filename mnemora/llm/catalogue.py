@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm import conversations, encoding, leakage, splitting
+from mnemora.llm import conversations, encoding, leakage, neardup, neighbours, packing, splitting
 from mnemora.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,49 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Affected documents with the encoding chains and the restored text."""
     return encoding.garbled(table(spark, sf_dir, "documents"))
+
+
+# -- 5: near-duplicates ------------------------------------------------------------------------------
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of facts and memories as records."""
+    each = [table(spark, sf_dir, n).select(F.lit(n).alias("table_name"), F.col(k).alias("record_id"), "content") for n, k in (("facts", "fact_id"), ("memories", "id"))]
+    return each[0].unionByName(each[1])
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records whose contents are alike."""
+    return neardup.record_pairs(_contents(spark, sf_dir)).select("table_name", "a_id", "b_id")
+
+
+@query
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with its group and its number of links."""
+    return neardup.groups(_contents(spark, sf_dir))
+
+
+# -- 7: containers -----------------------------------------------------------------------------------
+
+
+@query
+def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, or part of an oversized one, with its container."""
+    capacity = table(spark, sf_dir, "size_limits").where("table_name = 'documents' AND unit = 'tokens'").first()["max_size"]
+    return packing.bins(table(spark, sf_dir, "documents"), int(capacity))
+
+
+# -- 2: most similar vectors -------------------------------------------------------------------------
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of memories of which one is among the ten nearest of the other."""
+    return neighbours.pairs(neighbours.nearest(table(spark, sf_dir, "memories")))
+
+
+@query
+def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest memories of every memory."""
+    return neighbours.nearest(table(spark, sf_dir, "memories"))

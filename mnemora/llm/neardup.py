@@ -103,7 +103,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similar(sketch: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Whether two sketches agree well enough."""
-    same = 64 - np.bitwise_count(sketch ^ other)
+    same = 64 - np.bitwise_count((sketch ^ other).view(np.uint64)).astype(np.int64)  # of signed numbers it counts the absolute value
     return 2 * same / 64 - 1 >= SIGNATURE
 
 

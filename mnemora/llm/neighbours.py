@@ -24,9 +24,9 @@ from mnemora.session import cut
 
 DIMENSION = 64
 #: Vectors of the sample that the partition and the classifier are learned from, and neighbours in its graph.
-SAMPLE, GRAPH = 12_000, 10
+SAMPLE, GRAPH = 16_000, 10
 #: Vectors of a part on average, most parts, and parts that a vector is compared with.
-PART_SIZE, MOST_PARTS, PROBES = 8192, 512, 3
+PART_SIZE, MOST_PARTS, PROBES = 8192, 512, 5
 HIDDEN = 128
 
 _VECTOR = pa.schema([("id", pa.string()), ("vh", pa.int64()), ("vec", pa.binary())])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm import conversations, encoding, leakage, neardup, neighbours, packing, splitting
+from mnemora.llm import conversations, encoding, language, leakage, neardup, neighbours, packing, privacy, splitting
 from mnemora.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,44 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest memories of every memory."""
     return neighbours.nearest(table(spark, sf_dir, "memories"))
+
+
+# -- 1: languages ------------------------------------------------------------------------------------
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of messages and query intents with their labels."""
+    each = [
+        table(spark, sf_dir, n).select(F.lit(n).alias("table_name"), F.col(k).alias("record_id"), F.col(t).alias("content"), F.col("lang").alias("label"))
+        for n, k, t in (("messages", "id", "content"), ("query_intents", "query_id", "original_query"))
+    ]
+    return each[0].unionByName(each[1])
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose language label is missing or wrong or whose text mixes languages."""
+    found = language.detect(_labelled(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return language.mislabelled(found, table(spark, sf_dir, "lang_aliases"))
+
+
+@query
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every single-language segment with its language and confidence."""
+    found = language.detect(_labelled(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return found.select("table_name", "record_id", F.explode("segments").alias("s")).select("table_name", "record_id", "s.*").distinct()
+
+
+# -- 6: personal information -------------------------------------------------------------------------
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with the kinds of personal information that they hold."""
+    return privacy.masked(table(spark, sf_dir, "messages")).select("message_id", F.explode("kinds").alias("pii_kind")).distinct()
+
+
+@query
+def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with personal information, each item replaced by a placeholder."""
+    return privacy.masked(table(spark, sf_dir, "messages")).select("message_id", "text")

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.llm.common import batch, mix64
-from mnemora.session import cut
 
 DIMENSION = 64
 #: Vectors of the sample that the partition and the classifier are learned from, and neighbours in its graph.
@@ -193,10 +192,11 @@ def nearest(memories: DataFrame, k: int = 10, probes: int = PROBES, sample: int
     with null or non-finite elements) take no part. An empty table gives no rows.
     """
     spark = memories.sparkSession
-    every = cut(usable(memories))
-    vectors = every.select("vh", "vec").dropDuplicates(["vh"])
+    every = usable(memories)
+    vectors = every.select("vh", "vec")
     # vh is a hash, so the smallest ones are a random sample, and where they end tells how many there are.
-    drawn = vectors.orderBy("vh").limit(sample).toPandas()
+    smallest = every.select("vh").distinct().orderBy("vh").limit(sample)
+    drawn = vectors.join(F.broadcast(smallest), "vh").dropDuplicates(["vh"]).orderBy("vh").toPandas()
     if not len(drawn):
         return spark.createDataFrame([], "id string, neighbour_id string, rank int, similarity double")
     n = len(drawn) if len(drawn) < sample else int(sample / ((int(drawn["vh"].iloc[-1]) + 2**63) / 2**64))
@@ -204,12 +204,17 @@ def nearest(memories: DataFrame, k: int = 10, probes: int = PROBES, sample: int
     points = np.frombuffer(b"".join(drawn["vec"]), dtype=np.float32).reshape(-1, DIMENSION)
     router = learn(_unit(points).astype(np.float32), parts) if parts > 1 else None
     shared = spark.sparkContext.broadcast(router)  # a few hundred KB at MOST_PARTS
-    keep = k + 4  # a margin for ties, which are settled by id at the end
+    keep = k + 2  # a margin for ties, which are settled by id at the end
 
     home_schema = pa.schema([("part", pa.int32()), ("vh", pa.int64()), ("vec", pa.binary()), ("probes", pa.list_(pa.int32()))])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for rb in batches:
+            fresh = [i for i, h in enumerate(rb.column(0).to_pylist()) if not (h in seen or seen.add(h))]
+            if len(seen) > 500_000:  # bounds the memory; further copies are dropped at home
+                seen.clear()
+            rb = rb.take(pa.array(fresh, type=pa.int64()))
             if not rb.num_rows:
                 continue
             if shared.value is None:
@@ -223,9 +228,9 @@ def nearest(memories: DataFrame, k: int = 10, probes: int = PROBES, sample: int
 
     def at_home(t: pa.Table) -> pa.Table:
         """Neighbours within the own part; then a member row for the part and a query row for each further part."""
+        t = t.take(np.unique(t.column("vh").to_numpy(), return_index=True)[1])
         vh = t.column("vh").to_numpy()
-        raw = _matrix(t.column("vec").combine_chunks())
-        x = _unit(raw)
+        x = _unit(_matrix(t.column("vec").combine_chunks()))
         x32 = x.astype(np.float32)
         r, c, _ = _top(x32, x32, keep + 1)
         sim = np.round(np.einsum("ij,ij->i", x[r], x[c]), 9)
@@ -290,13 +295,12 @@ def nearest(memories: DataFrame, k: int = 10, probes: int = PROBES, sample: int
     ids = every.select("vh", "id").distinct()
     # Of equal vectors only the k + 1 smallest ids can be anyone's nearest.
     few = ids.withColumn("n", F.row_number().over(Window.partitionBy("vh").orderBy("id"))).where(F.col("n") <= k + 1)
-    sized = ids.join(ids.groupBy("vh").agg(F.count("*").alias("copies")), "vh")
-    self_near = few.select("vh", F.col("vh").alias("other"), F.lit(1.0).alias("similarity")).distinct()
-    candidates = near.unionByName(self_near).join(few.select(F.col("vh").alias("other"), F.col("id").alias("neighbour_id")), "other").select("vh", "neighbour_id", "similarity")
-    best = candidates.withColumn("r", F.row_number().over(Window.partitionBy("vh").orderBy(F.desc("similarity"), "neighbour_id"))).where(F.col("r") <= k + 1)
-    ranked = sized.select("vh", "id").join(best, "vh").where("id <> neighbour_id")
-    order = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour_id"))
-    return ranked.withColumn("rank", order).where(F.col("rank") <= k).select("id", "neighbour_id", "rank", "similarity")
+    itself = few.select("vh", F.col("id").alias("neighbour_id"), F.lit(1.0).alias("similarity"))
+    others = near.join(few.select(F.col("vh").alias("other"), F.col("id").alias("neighbour_id")), "other").select("vh", "neighbour_id", "similarity")
+    best = others.unionByName(itself).withColumn("r", F.row_number().over(Window.partitionBy("vh").orderBy(F.desc("similarity"), "neighbour_id"))).where(F.col("r") <= k + 1)
+    ranked = best.groupBy("vh").agg(F.sort_array(F.collect_list(F.struct("r", "neighbour_id", "similarity"))).alias("found"))  # at most k + 1
+    own = F.slice(F.filter("found", lambda x: x["neighbour_id"] != F.col("id")), 1, k)
+    return ids.join(ranked, "vh").select("id", F.posexplode(own).alias("at", "x")).select("id", F.col("x.neighbour_id").alias("neighbour_id"), (F.col("at") + 1).alias("rank"), F.col("x.similarity").alias("similarity"))
 
 
 def pairs(nearest_rows: DataFrame) -> DataFrame:

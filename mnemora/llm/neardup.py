@@ -1,14 +1,14 @@
 """Near-duplicate records with small edits.
 
-Method: many universal hash minima with banding. Every distinct text gets BANDS x ROWS minima over its set of
-four-character runs; texts that agree on a whole band are candidates. A 64-bit sketch of the minima travels
+Method: many universal hash minima with banding. Every distinct text gets HASHES minima over its set of
+four-character runs; texts that agree on a whole band of ROWS are candidates. A 192-bit sketch of the minima travels
 with each band row, so that a candidate is verified by signature where it arises; what remains is verified
 exactly on the texts. Groups are the connected components of the links, by alternating large-star and
 small-star.
 
 Exact copies are one text: they share a fingerprint, so a text that a third of all rows repeat is one row in
 each bucket. A bucket of more than HOT texts is cut into blocks, and pairs of blocks are spread over tasks.
-At similarity 0.7 a pair is missed with probability (1 - 0.7^4)^26 < 0.001; above, less.
+At similarity 0.7 a pair is missed with probability (1 - 0.7^4)^20 = 0.004, at 0.75 with 0.0005.
 """
 
 from __future__ import annotations
@@ -24,24 +24,27 @@ from mnemora.llm.common import batch, chunks, codepoints, mix64, offsets
 from mnemora.session import cut
 
 RUN, THRESHOLD = 4, 0.7
-ROWS, BANDS = 4, 26
-#: Least signature similarity of a candidate: THRESHOLD less 3.5 standard deviations of the 64-bit estimate.
-SIGNATURE = THRESHOLD - 3.5 * 2 * (0.85 * 0.15 / 64) ** 0.5
+ROWS, BANDS, HASHES = 4, 20, 104
+#: Two bits of each of so many minima are the sketch.
+SKETCHED = 96
+#: Least signature similarity of a candidate: THRESHOLD less 3.5 standard deviations of the sketch's estimate.
+SIGNATURE = THRESHOLD - 3.5 * (THRESHOLD * (1 - THRESHOLD) / SKETCHED + (1 - THRESHOLD) / (2 * SKETCHED)) ** 0.5
 #: Texts of a bucket that one task compares at once.
 HOT = 4096
 #: Copies of one text that are expanded into all their pairs; of more, each is paired with the smallest id only.
 COPIES = 200
 
-_BAND = pa.schema([("band", pa.int64()), ("fp", pa.int64()), ("sketch", pa.int64())])
-_BAND_DDL = "band long, fp long, sketch long"
-_CANDIDATE = pa.schema([("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("side", pa.int8())])
-_CANDIDATE_DDL = "k long, a long, b long, side byte"
+_BAND = pa.schema([("band", pa.int64()), ("fp", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+_BAND_DDL = "band long, fp long, s0 long, s1 long, s2 long"
+#: A pair (side 0: a, b) or a row of a hot bucket's block (side 1 or 2: its text a and its sketch b, c, d).
+_CANDIDATE = pa.schema([("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("side", pa.int8())])
+_CANDIDATE_DDL = "k long, a long, b long, c long, d long, side byte"
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
     """Odd multipliers and offsets of the universal hash functions, from a fixed seed."""
     rng = np.random.default_rng(20240229)
-    n = ROWS * BANDS
+    n = HASHES
     return rng.integers(1, 1 << 32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
@@ -52,7 +55,7 @@ def _minima(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(at)
     own = np.flatnonzero(n >= RUN)
     if not len(own):
-        return own, np.zeros((ROWS * BANDS, 0), dtype=np.uint32)
+        return own, np.zeros((HASHES, 0), dtype=np.uint32)
     gram = mix64(cp[:-3] * np.uint64(0x9E3779B97F4A7C15) + cp[1:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + cp[2:-1] * np.uint64(0x165667B19E3779F9) + cp[3:] * np.uint64(0x27D4EB2F165667C5))
     gram = (gram >> np.uint64(32)).astype(np.uint32)
     inside = np.ones(len(gram), dtype=bool)  # runs that cross into the next text don't count
@@ -63,9 +66,9 @@ def _minima(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     start = np.zeros(len(own), dtype=np.int64)
     np.cumsum(n[own][:-1] - (RUN - 1), out=start[1:])
     a, b = _constants()
-    out = np.empty((ROWS * BANDS, len(own)), dtype=np.uint32)
+    out = np.empty((HASHES, len(own)), dtype=np.uint32)
     buffer = np.empty(len(gram), dtype=np.uint32)
-    for k in range(ROWS * BANDS):
+    for k in range(HASHES):
         np.multiply(gram, a[k], out=buffer)
         np.add(buffer, b[k], out=buffer)
         out[k] = np.minimum.reduceat(buffer, start)
@@ -89,8 +92,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, minima = _minima(texts[x:y])
             if not len(own):
                 continue
-            bits = ((minima[:64] >> np.uint32(7)) & np.uint32(1)).astype(np.uint64)
-            sketch = (bits << np.arange(64, dtype=np.uint64)[:, None]).sum(axis=0, dtype=np.uint64)
+            bits = np.concatenate([minima[:SKETCHED] >> np.uint32(7), minima[:SKETCHED] >> np.uint32(13)]) & np.uint32(1)
+            place = np.arange(64, dtype=np.uint64)[:, None]
+            s0, s1, s2 = ((bits[k : k + 64].astype(np.uint64) << place).sum(axis=0, dtype=np.uint64).view(np.int64) for k in (0, 64, 128))
             band = np.empty((BANDS, len(own)), dtype=np.uint64)
             for k in range(BANDS):
                 h = np.full(len(own), k + 1, dtype=np.uint64)
@@ -98,13 +102,13 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     h = mix64(h ^ minima[k * ROWS + r])
                 band[k] = h
             ids = fps[x:y][own]
-            yield batch(_BAND, band=band.ravel().view(np.int64), fp=np.tile(ids, BANDS), sketch=np.tile(sketch, BANDS).view(np.int64))
+            yield batch(_BAND, band=band.ravel().view(np.int64), fp=np.tile(ids, BANDS), s0=np.tile(s0, BANDS), s1=np.tile(s1, BANDS), s2=np.tile(s2, BANDS))
 
 
 def _similar(sketch: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Whether two sketches agree well enough."""
-    same = 64 - np.bitwise_count((sketch ^ other).view(np.uint64)).astype(np.int64)  # of signed numbers it counts the absolute value
-    return 2 * same / 64 - 1 >= SIGNATURE
+    differ = np.bitwise_count((sketch ^ other).view(np.uint64)).sum(axis=-1, dtype=np.int64)  # of signed numbers it counts the absolute value
+    return 1 - differ / SKETCHED >= SIGNATURE
 
 
 def _pairs_of(fp: np.ndarray, sketch: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -127,7 +131,8 @@ def _pairs_of(fp: np.ndarray, sketch: np.ndarray, start: np.ndarray, size: np.nd
 def _candidate_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     low, high = np.minimum(a, b), np.maximum(a, b)
     k = mix64(low.view(np.uint64) * np.uint64(31) + high.view(np.uint64)).view(np.int64)
-    return batch(_CANDIDATE, k=k, a=low, b=high, side=np.zeros(len(k), dtype=np.int8))
+    none = np.zeros(len(k), dtype=np.int64)
+    return batch(_CANDIDATE, k=k, a=low, b=high, c=none, d=none, side=none.astype(np.int8))
 
 
 def _block_rows(band: int, fp: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -141,22 +146,22 @@ def _block_rows(band: int, fp: np.ndarray, sketch: np.ndarray) -> Iterator[pa.Re
                 if side == 2 and i == j:
                     continue
                 k = block == own
-                yield batch(_CANDIDATE, k=np.full(k.sum(), key), a=fp[k], b=sketch[k], side=np.full(k.sum(), side, dtype=np.int8))
+                yield batch(_CANDIDATE, k=np.full(k.sum(), key), a=fp[k], b=sketch[k, 0], c=sketch[k, 1], d=sketch[k, 2], side=np.full(k.sum(), side, dtype=np.int8))
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates of rows sorted by (band, fp): verified pairs, and the blocks of hot buckets."""
-    rest = [np.zeros(0, dtype=np.int64)] * 3
+    rest = [np.zeros(0, dtype=np.int64)] * 5
     for rb in _with_end(batches):
         last = rb is None
-        band, fp, sketch = (rest if last else [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, rb.columns, strict=True)])
+        band, fp, s0, s1, s2 = rest if last else [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, rb.columns, strict=True)]
         if not len(band):
             continue
         first = np.append(True, (band[1:] != band[:-1]) | (fp[1:] != fp[:-1]))
-        band, fp, sketch = band[first], fp[first], sketch[first]
+        band, fp, s0, s1, s2 = (x[first] for x in (band, fp, s0, s1, s2))
         upto = len(band) if last else int(np.searchsorted(band, band[-1], "left"))
-        rest = [x[upto:] for x in (band, fp, sketch)]
-        band, fp, sketch = band[:upto], fp[:upto], sketch[:upto]
+        rest = [x[upto:] for x in (band, fp, s0, s1, s2)]
+        band, fp, sketch = band[:upto], fp[:upto], np.stack([s0[:upto], s1[:upto], s2[:upto]], axis=1)
         if not len(band):
             continue
         start = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
@@ -175,15 +180,15 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct pairs of rows sorted by (k, side, a, b): pairs pass, blocks are compared."""
-    rest = [np.zeros(0, dtype=np.int64)] * 4
+    rest = [np.zeros(0, dtype=np.int64)] * 6
     for rb in _with_end(batches):
         last = rb is None
-        k, a, b, side = (rest if last else [np.concatenate([r, c.to_numpy().astype(np.int64)]) for r, c in zip(rest, rb.columns, strict=True)])
+        k, a, b, c, d, side = rest if last else [np.concatenate([r, x.to_numpy().astype(np.int64)]) for r, x in zip(rest, rb.columns, strict=True)]
         if not len(k):
             continue
         upto = len(k) if last else int(np.searchsorted(k, k[-1], "left"))
-        rest = [x[upto:] for x in (k, a, b, side)]
-        k, a, b, side = k[:upto], a[:upto], b[:upto], side[:upto]
+        rest = [x[upto:] for x in (k, a, b, c, d, side)]
+        k, a, b, c, d, side = (x[:upto] for x in (k, a, b, c, d, side))
         plain = side == 0
         if plain.any():
             kk, x, y = k[plain], a[plain], b[plain]
@@ -191,13 +196,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _candidate_rows(x[first], y[first])
         hot = np.flatnonzero(~plain)
         if len(hot):
+            sketch = np.stack([b, c, d], axis=1)
             edges = np.flatnonzero(np.append(True, k[hot][1:] != k[hot][:-1]))
             for s, e in zip(edges, np.append(edges[1:], len(hot)), strict=True):
                 own = hot[s:e]
                 one, two = own[side[own] == 1], own[side[own] == 2]
                 for i, p in enumerate(one):
                     other = two if len(two) else one[i + 1 :]
-                    ok = _similar(b[other], b[p])
+                    ok = _similar(sketch[other], sketch[p])
                     if ok.any():
                         yield _candidate_rows(np.full(ok.sum(), a[p]), a[other[ok]])
 
@@ -249,12 +255,10 @@ def text_links(base: DataFrame) -> DataFrame:
         .select("k", "a", "b")
         .dropDuplicates(["k", "a", "b"])
     )
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
-    texts = base.select("fp", "norm")
-    joined = sides.join(texts, "fp").groupBy("a", "b").agg(
-        F.max(F.when(F.col("fp") == F.col("a"), F.col("norm"))).alias("x"), F.max(F.when(F.col("fp") == F.col("b"), F.col("norm"))).alias("y")
-    )
-    return joined.where("x IS NOT NULL AND y IS NOT NULL").mapInArrow(_verify, "fp_a long, fp_b long, similarity double")
+    texts = base.select("fp", "norm").dropDuplicates(["fp"])  # copies go before the shuffle, and the second join reuses it
+    first = pairs.join(texts.select(F.col("fp").alias("a"), F.col("norm").alias("x")), "a").dropDuplicates(["a", "b"])
+    both = first.join(texts.select(F.col("fp").alias("b"), F.col("norm").alias("y")), "b").dropDuplicates(["a", "b"])
+    return both.select("a", "b", "x", "y").mapInArrow(_verify, "fp_a long, fp_b long, similarity double")
 
 
 def members(base: DataFrame) -> DataFrame:

@@ -203,6 +203,9 @@ _RUN = re.compile(r"[^\x00-\x7f]+(?:[\x40-\x7e]?[^\x00-\x7f]+)*[\x40-\x7e]?")
 def _better(old: str, new: str, model: Model, total: float = TOTAL_GAIN) -> bool:
     if "\ufffd" in new or any(("\x7f" <= c <= "\x9f" or c < " ") and c not in old for c in new):
         return False
+    # Drawings and marks that stand apart from words are no garbled letters.
+    if not any(c.isalpha() or "\x80" <= c <= "\x9f" or old[max(0, i - 1) : i].isalpha() or old[i + 1 : i + 2].isalpha() for i, c in enumerate(old) if not c.isascii()):
+        return False
     each, whole = model.gain(old, new)
     return each > GAIN and whole > total
 

@@ -123,8 +123,8 @@ def _features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """weights: log probabilities, features by classes; prior: by class.
 
-    The first n_clean classes are clean text, one for each language label and one of all; the class
-    n_clean + k is CHAINS[k].
+    The first n_clean classes are clean text, one for each language label and one of all; the classes
+    n_clean + 2 k and n_clean + 2 k + 1 are CHAINS[k] on text in Latin and in other letters.
     """
 
     weights: np.ndarray
@@ -173,7 +173,7 @@ def _bytes(lines: list[str]) -> np.ndarray:
 
 def fit(lines: list[tuple[str, str]]) -> Model:
     """Fit on clean (label, line) pairs; lines that prove garbled under a first fit are left out of the second."""
-    lines = [(label, x) for label, x in lines if not x.isascii() and "\ufffd" not in x]
+    lines = [(label, x) for label, x in lines if not x.isascii() and "\ufffd" not in x and not _proven(x)]
     model = _fit(lines)
     numbers, scores = model.score_lines(_bytes([x for _, x in lines]))
     suspect = model.suspects(scores)
@@ -181,17 +181,26 @@ def fit(lines: list[tuple[str, str]]) -> Model:
     return _fit([x for n, x in enumerate(lines) if n not in bad]) if bad else model
 
 
+def _proven(line: str) -> bool:
+    """Whether the line is valid UTF-8 under a single-byte reading, which clean text hardly ever is."""
+    return any(ungarble(line, ("utf-8", w)) is not None for w in _SINGLE)
+
+
+def _latin(line: str) -> bool:
+    return 2 * sum(c < "\u0250" for c in line if c.isalpha()) > sum(c.isalpha() for c in line)
+
+
 def _fit(lines: list[tuple[str, str]]) -> Model:
     # Capitals, no-break spaces and typographic marks are as right in clean text as what they stand for.
     clean = lines + [(label, x.upper()) for label, x in lines[::6]] + [(label, x.replace(" ", "\xa0", n)) for n in (3, -1) for label, x in lines[::6]]
     labels = sorted({label for label, _ in lines})
-    texts = [x for _, x in lines]
+    scripts = [[x for _, x in lines if _latin(x) == own] for own in (True, False)]
     groups = [[x for label, x in clean if label == own] for own in labels] + [[x for _, x in clean]]
-    groups += [[g for x in texts if (g := garble(x, chain)) is not None and g != x] for chain in CHAINS]
+    groups += [[g for x in own if (g := garble(x, chain)) is not None and g != x] for chain in CHAINS for own in scripts]
     counts = np.full((FEATURES, len(groups)), 0.05, dtype=np.float64)
     for k, own in enumerate(groups):
         counts[:, k] += np.bincount(_features(_bytes(own))[1], minlength=FEATURES)
-    prior = np.full(len(groups), np.log(0.05 / len(CHAINS)))
+    prior = np.full(len(groups), np.log(0.05 / len(CHAINS) / 2))
     prior[: len(labels) + 1] = np.log(0.95 / (len(labels) + 1))
     prior[[not own for own in groups]] = -1e9
     return Model(np.log(counts / counts.sum(axis=0)).astype(np.float32), prior.astype(np.float32), len(labels) + 1)
@@ -217,7 +226,7 @@ def repaired(line: str, model: Model, scores: np.ndarray, tries: int = 5) -> tup
     non-ASCII runs are inverted each for itself, and those that can't stay as they are.
     """
     clean = scores[: model.n_clean].max()
-    order = [int(k) for k in np.argsort(-scores[model.n_clean :])[:tries] if scores[model.n_clean + k] > clean]
+    order = list(dict.fromkeys(int(k) // 2 for k in np.argsort(-scores[model.n_clean :])[: 2 * tries] if scores[model.n_clean + k] > clean))[:tries]
     for k in order:
         new = ungarble(line, CHAINS[k])
         if new is not None and _better(line, new, model):

@@ -193,7 +193,7 @@ def _latin(line: str) -> bool:
 def _fit(lines: list[tuple[str, str]]) -> Model:
     # Capitals, no-break spaces and typographic marks are as right in clean text as what they stand for.
     clean = lines + [(label, x.upper()) for label, x in lines[::6]] + [(label, x.replace(" ", "\xa0", n)) for n in (3, -1) for label, x in lines[::6]]
-    labels = sorted({label for label, _ in lines})
+    labels = sorted({label for label, _ in lines if label})  # text without a label counts in the class of all only
     scripts = [[x for _, x in lines if _latin(x) == own] for own in (True, False)]
     groups = [[x for label, x in clean if label == own] for own in labels] + [[x for _, x in clean]]
     groups += [[g for x in own if (g := garble(x, chain)) is not None and g != x] for chain in CHAINS for own in scripts]

@@ -87,7 +87,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(seen) > 500_000:  # bounds the memory; what is forgotten is told apart later
             seen.clear()
         texts = rb.column(1).take(pa.array(fresh, type=pa.int64())).to_pylist()
-        fps = fps[fresh]
+        fps, tables = fps[fresh], rb.column(2).to_numpy().view(np.uint64)[fresh]
         for x, y in chunks(map(len, texts), 1 << 18):
             own, minima = _minima(texts[x:y])
             if not len(own):
@@ -97,7 +97,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s0, s1, s2 = ((bits[k : k + 64].astype(np.uint64) << place).sum(axis=0, dtype=np.uint64).view(np.int64) for k in (0, 64, 128))
             band = np.empty((BANDS, len(own)), dtype=np.uint64)
             for k in range(BANDS):
-                h = np.full(len(own), k + 1, dtype=np.uint64)
+                h = tables[x:y][own] + np.uint64(k + 1)  # texts of different tables never meet
                 for r in range(ROWS):
                     h = mix64(h ^ minima[k * ROWS + r])
                 band[k] = h
@@ -246,7 +246,7 @@ def prepared(records: DataFrame) -> DataFrame:
 
 def text_links(base: DataFrame) -> DataFrame:
     """Links between different texts: fp_a < fp_b, similarity (exact, at least THRESHOLD). base: of `prepared`."""
-    buckets = base.select("fp", "norm").mapInArrow(_bands, _BAND_DDL).repartition("band").sortWithinPartitions("band", "fp")
+    buckets = base.select("fp", "norm", F.xxhash64("table_name")).mapInArrow(_bands, _BAND_DDL).repartition("band").sortWithinPartitions("band", "fp")
     pairs = (
         buckets.mapInArrow(_buckets, _CANDIDATE_DDL)
         .repartition("k")

@@ -364,9 +364,9 @@ def message_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""SELECT DISTINCT id, a.role AS role, date_trunc('second', sent_at) AS "timestamp",
-  sha256(array_to_string(list_filter(string_split(regexp_extract(content || chr(10), '(?s)^(.*?)(?:\n## |$)', 1), chr(10)), lambda x: trim(x, ' ') <> ''), chr(10))) AS content_hash
+  sha256(array_to_string(list_filter(string_split(regexp_extract(chr(10) || content || chr(10), '(?s)^(.*?)(?:\n## |$)', 1), chr(10)), lambda x: trim(x, ' ') <> ''), chr(10))) AS content_hash
 FROM messages JOIN role_aliases a ON a.alias = messages.role WHERE sent_at IS NOT NULL AND content IS NOT NULL
-AND array_to_string(list_filter(string_split(regexp_extract(content || chr(10), '(?s)^(.*?)(?:\n## |$)', 1), chr(10)), lambda x: trim(x, ' ') <> ''), chr(10)) <> ''"""
+AND array_to_string(list_filter(string_split(regexp_extract(chr(10) || content || chr(10), '(?s)^(.*?)(?:\n## |$)', 1), chr(10)), lambda x: trim(x, ' ') <> ''), chr(10)) <> ''"""
 )
 def message_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages rendered as markdown and read back."""

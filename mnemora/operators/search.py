@@ -91,6 +91,20 @@ def layered(l0: DataFrame, l1: DataFrame, members: DataFrame, w: tuple[float, fl
     return scored.where(F.col("score") >= threshold).withColumn("r", rank).where(F.col("r") <= limit).select("query_id", "vec_id", "score")
 
 
+def first_tier(hits: DataFrame, thresholds: tuple[float, ...], limit: int) -> DataFrame:
+    """Each query's results of the strictest threshold that any of them reaches: query_id, vec_id, score, tier.
+
+    hits: query_id, vec_id, score. Tier k holds scores of at least thresholds[k]; the last tier all the rest.
+    """
+    tier = F.lit(len(thresholds))
+    for k in range(len(thresholds) - 1, -1, -1):
+        tier = F.when(F.col("score") >= thresholds[k], k).otherwise(tier)
+    w = Window.partitionBy("query_id")
+    first = hits.withColumn("tier", tier).withColumn("best", F.min("tier").over(w)).where(F.col("tier") <= F.col("best"))
+    rank = F.row_number().over(w.orderBy(F.desc("score"), "vec_id"))
+    return first.withColumn("r", rank).where(F.col("r") <= limit).select("query_id", "vec_id", "score", "tier")
+
+
 def rerank_bonus(uri: Column, snippet: Column, keywords: Column, entities: Column) -> Column:
     """What a result gains by its path and text: files over directories, up to four keywords and three entities."""
     low = F.lower(snippet)

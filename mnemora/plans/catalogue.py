@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mnemora.functions import text as t
 from mnemora.functions import uri as u
 from mnemora.functions.vectors import cosine
-from mnemora.operators import decay, evaluate, merge, search, sessions, tree
+from mnemora.operators import decay, evaluate, layers, maintenance, merge, search, sessions, tree
 from mnemora.operators.filters import MemoryFilter
 from mnemora.sources.tables import table
 from mnemora.streaming import windows
@@ -645,3 +645,118 @@ def index_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memories, archived ones and accesses by owner and type, with totals."""
     i = table(spark, sf_dir, "memory_index").rollup("owner_id", "memory_type")
     return i.agg(F.count("*").alias("n"), F.count_if(F.coalesce("archived", F.lit(False))).alias("n_archived"), F.sum("access_count").alias("n_accesses"))
+
+
+# -- layers, sync and sessions -----------------------------------------------------------------------
+
+_DIR = r"""CASE WHEN regexp_matches(uri, '/\.(abstract|overview)\.md$') THEN regexp_replace(uri, '/\.(abstract|overview)\.md$', '') WHEN ends_with(uri, '.md') THEN regexp_replace(uri, '/[^/]*$', '') ELSE uri END"""
+
+
+@query(
+    f"""WITH m AS (SELECT DISTINCT id, uri, {_DIR} AS dir, coalesce(layer, 'L2') AS l, content FROM memories WHERE uri IS NOT NULL)
+SELECT dir, sha256(min_by(content, uri) FILTER (l = 'L0' AND content IS NOT NULL)) AS abstract_hash, sha256(min_by(content, uri) FILTER (l = 'L1' AND content IS NOT NULL)) AS overview_hash, count(*) FILTER (l = 'L2') AS n_files FROM m GROUP BY dir"""
+)
+def layer_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = layers.bundle(_memories(spark, sf_dir, "uri", "layer", "content"))
+    return b.select("dir", F.sha2("abstract", 256).alias("abstract_hash"), F.sha2("overview", 256).alias("overview_hash"), "n_files")
+
+
+@query(
+    r"""WITH a AS (SELECT DISTINCT regexp_replace(uri, '/[^/]*$', '') AS dir, first_value(left(text, 120)) OVER (PARTITION BY regexp_replace(uri, '/[^/]*$', '') ORDER BY uri) AS abstract FROM documents WHERE text IS NOT NULL),
+p AS (SELECT regexp_replace(dir, '/[^/]*$', '') AS parent, regexp_extract(dir, '([^/]*)$', 1) AS name, chr(10) || chr(10) || '## ' || regexp_extract(dir, '([^/]*)$', 1) || chr(10) || chr(10)
+  || array_to_string(list_filter(string_split(abstract, chr(10)), lambda x: NOT (starts_with(x, '<!-- source-hash:') OR starts_with(x, '**Added**:'))), chr(10)) AS part FROM a)
+SELECT parent AS dir, sha256(left(string_agg(part, '' ORDER BY name), 10000)) AS content_hash FROM p GROUP BY parent"""
+)
+def child_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directory texts from children, each standing for its first document's beginning."""
+    d = _documents(spark, sf_dir)
+    a = d.groupBy(u.parent(F.col("uri")).alias("dir")).agg(F.min_by(F.left("text", F.lit(120)), "uri").alias("abstract"))
+    return layers.child_abstracts(a).select("dir", F.sha2("content", 256).alias("content_hash"))
+
+
+@query()
+def layer_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts of every directory, level by level: a recursion over texts, tested against a fixture."""
+    return layers.rebuilt(_documents(spark, sf_dir).select("uri", "text"))
+
+
+@query(
+    """WITH f AS (SELECT regexp_replace(uri, '/[^/]*$', '') AS dir, max(coalesce(updated_at, created_at)) AS newest FROM documents WHERE uri IS NOT NULL GROUP BY 1),
+l AS (SELECT regexp_replace(uri, '/[^/]*$', '') AS dir, max(created_at) AS made FROM documents WHERE uri IS NOT NULL AND source = 'abstract' GROUP BY 1)
+SELECT f.dir, newest FROM f LEFT JOIN l USING (dir) WHERE made IS NULL OR newest > made"""
+)
+def stale_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("uri IS NOT NULL")
+    made = d.where("source = 'abstract'").select(u.parent(F.col("uri")).alias("dir"), F.col("created_at").alias("at"))
+    return layers.stale(d.select("uri", F.coalesce("updated_at", "created_at").alias("at")), made)
+
+
+_SYNC = r"""WITH f AS (SELECT file_path AS uri, max(content_hash) AS fh FROM memory_index WHERE file_path IS NOT NULL GROUP BY 1),
+v AS (SELECT regexp_extract(uri, '^\w+://[^/]+/[^/]+/(.*)$', 1) AS uri, max(content_hash) AS vh FROM memories WHERE uri IS NOT NULL GROUP BY 1),
+a AS (SELECT coalesce(f.uri, v.uri) AS uri, CASE WHEN v.uri IS NULL THEN 'add' WHEN f.uri IS NULL THEN 'delete' WHEN fh IS DISTINCT FROM vh THEN 'update' ELSE 'skip' END AS action FROM f FULL JOIN v ON f.uri = v.uri)
+"""
+
+
+def _sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "memory_index").select(F.col("file_path").alias("uri"), "content_hash")
+    v = table(spark, sf_dir, "memories").where("uri IS NOT NULL").select(F.regexp_extract("uri", r"^\w+://[^/]+/[^/]+/(.*)$", 1).alias("uri"), "content_hash")
+    return maintenance.sync_actions(files, v)
+
+
+@query(_SYNC + "SELECT uri, action FROM a")
+def sync_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sync(spark, sf_dir)
+
+
+@query(_SYNC + "SELECT count(*) FILTER (action = 'skip') AS n_skipped, count(*) FILTER (action <> 'skip') AS n_done, round(count(*) FILTER (action = 'skip') / nullif(count(*), 0), 6) AS skip_rate FROM a")
+def sync_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _sync(spark, sf_dir).agg(F.count_if(F.col("action") == "skip").alias("n_skipped"), F.count_if(F.col("action") != "skip").alias("n_done"))
+    return n.withColumn("skip_rate", maintenance.rate(F.col("n_skipped"), F.col("n_done")))
+
+
+_CURRENT = """WITH s AS (SELECT thread_id, max_by(struct_pack(status := status, participants := participants), (updated_at, message_count, status)) AS x FROM sessions GROUP BY thread_id)"""
+
+
+def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.latest_sessions(table(spark, sf_dir, "sessions").select("thread_id", "status", "participants", "updated_at", "message_count"))
+
+
+@query(
+    _CURRENT
+    + rf""", v AS (SELECT DISTINCT {_TAIL} AS file_path FROM memories WHERE uri IS NOT NULL),
+o AS (SELECT DISTINCT unnest(source_sessions) AS thread_id, id, file_path FROM memory_index),
+n AS (SELECT thread_id, count(*) AS n_memories, count(v.file_path) AS n_vectors FROM o LEFT JOIN v USING (file_path) GROUP BY thread_id)
+SELECT s.thread_id, x.status = 'closed' AS closed, coalesce(n_memories, 0) AS n_memories, coalesce(n_vectors, 0) AS n_vectors,
+  coalesce(x.status = 'closed' AND n_memories > 0 AND n_memories = n_vectors, false) AS ready FROM s LEFT JOIN n USING (thread_id)"""
+)
+def session_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "memories").where("uri IS NOT NULL").select(F.regexp_extract("uri", r"^\w+://[^/]+/[^/]+/(.*)$", 1).alias("file_path"))
+    return maintenance.ready_sessions(_current(spark, sf_dir).select("thread_id", "status"), table(spark, sf_dir, "memory_index"), v)
+
+
+@query(
+    _CURRENT
+    + """, p AS (SELECT unnest(list_distinct(x.participants)) AS participant, x.status AS status FROM s)
+SELECT participant, count(*) AS n_sessions, count(*) FILTER (status = 'active') AS n_open FROM p GROUP BY participant"""
+)
+def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.participants(_current(spark, sf_dir))
+
+
+@query(_SENT + "SELECT thread_id, id, sent AS at FROM m WHERE sent BETWEEN TIMESTAMPTZ '2025-03-01 00:00:00+00' AND TIMESTAMPTZ '2025-05-31 23:59:59+00'")
+def timeline_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sent(spark, sf_dir).where("at BETWEEN TIMESTAMP '2025-03-01 00:00:00' AND TIMESTAMP '2025-05-31 23:59:59'").select("thread_id", "id", "at")
+
+
+@query(
+    _COS
+    + """, t AS (SELECT query_id, vec_id, score, CASE WHEN score >= 0.45 THEN 0 WHEN score >= 0.3 THEN 1 ELSE 2 END AS tier, n FROM r WHERE n <= 30),
+b AS (SELECT query_id, min(tier) AS best FROM t WHERE vec_id <> query_id GROUP BY query_id),
+u AS (SELECT t.*, row_number() OVER (PARTITION BY query_id ORDER BY n) AS k FROM t JOIN b USING (query_id) WHERE tier <= best AND vec_id <> query_id)
+SELECT query_id, vec_id, score, tier FROM u WHERE k <= 10"""
+)
+def layered_fallback_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without driver-side branching: rank all tiers of thresholds at once, keep each query's first that isn't empty."""
+    e = table(spark, sf_dir, "embeddings")
+    hits = search.top_k(_queries(e), e, 30)
+    return search.first_tier(hits.where("query_id <> vec_id"), (0.45, 0.3), 10)

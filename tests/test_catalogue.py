@@ -49,4 +49,4 @@ def test_entry(spark):
 
 
 def test_queries_without_sql_are_known():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"debounce_capped"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"debounce_capped", "layer_rebuild"}

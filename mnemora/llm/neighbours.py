@@ -184,6 +184,14 @@ def _top(queries: np.ndarray, members: np.ndarray, keep: int, least: np.ndarray
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(sims)
 
 
+def _best(r: np.ndarray, c: np.ndarray, sim: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `keep` most similar entries of each r, sorted by r and falling similarity."""
+    order = np.lexsort((-sim, r))
+    r, c, sim = r[order], c[order], sim[order]
+    best = np.arange(len(r)) - np.searchsorted(r, r) < keep
+    return r[best], c[best], sim[best]
+
+
 def nearest(memories: DataFrame, k: int = 10, probes: int = PROBES, sample: int = SAMPLE, part_size: int = PART_SIZE) -> DataFrame:
     """The k most similar other records of every usable record: id, neighbour_id, rank, similarity.
 
@@ -224,68 +232,63 @@ def nearest(memories: DataFrame, k: int = 10, probes: int = PROBES, sample: int
             yield batch(home_schema, part=order[:, 0], vh=rb.column(0), vec=rb.column(1), probes=list(order[:, 1:]))
 
     found_schema = pa.schema([("vh", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
-    search_schema = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("vh", pa.int64()), ("vec", pa.binary()), ("least", pa.float32()), ("others", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64()))])
+    search_schema = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("vh", pa.int64()), ("vec", pa.binary()), ("least", pa.float32())])
 
-    def at_home(t: pa.Table) -> pa.Table:
-        """Neighbours within the own part; then a member row for the part and a query row for each further part."""
-        t = t.take(np.unique(t.column("vh").to_numpy(), return_index=True)[1])
-        vh = t.column("vh").to_numpy()
-        x = _unit(_matrix(t.column("vec").combine_chunks()))
+    def within(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, other row, similarity) of the best `keep` of every row within its part, the best first."""
         x32 = x.astype(np.float32)
         r, c, _ = _top(x32, x32, keep + 1)
-        sim = np.round(np.einsum("ij,ij->i", x[r], x[c]), 9)
         out = r != c
-        r, c, sim = r[out], c[out], sim[out]
-        order = np.lexsort((-sim, r))
-        r, c, sim = r[order], c[order], sim[order]
+        return _best(r[out], c[out], np.round(np.einsum("ij,ij->i", x[r[out]], x[c[out]]), 9), keep)
+
+    def at_home(t: pa.Table) -> pa.Table:
+        """A member row for the own part and a query row for each further part, with the similarity that the k-th neighbour at home has."""
+        t = t.take(np.unique(t.column("vh").to_numpy(), return_index=True)[1])
+        vh = t.column("vh").to_numpy()
+        r, _, sim = within(_unit(_matrix(t.column("vec").combine_chunks())))
         start = np.searchsorted(r, np.arange(len(vh) + 1))
-        own = [slice(start[i], min(start[i + 1], start[i] + keep)) for i in range(len(vh))]
-        least = np.array([sim[s][k - 1] - 1e-5 if s.stop - s.start >= k else -2 for s in own], dtype=np.float32)
+        enough = np.diff(start) >= k
+        least = np.full(len(vh), -2, dtype=np.float32)
+        least[enough] = sim[start[:-1][enough] + k - 1] - 1e-5
         probe = t.column("probes").to_pylist()
-        vec = t.column("vec").to_pylist()
-        part = t.column("part").to_pylist()
         further = [(i, p) for i in range(len(vh)) for p in probe[i]]
-        i_of = np.array([i for i, _ in further], dtype=np.int64)
+        rows = np.concatenate([np.arange(len(vh)), np.array([i for i, _ in further], dtype=np.int64)])
         return pa.table(
             {
-                "kind": np.concatenate([np.zeros(len(vh)), np.ones(len(further))]).astype(np.int8),
-                "part": np.array(part + [p for _, p in further], dtype=np.int32),
-                "vh": np.concatenate([vh, vh[i_of]]),
-                "vec": pa.array(vec + [vec[i] for i in i_of], type=pa.binary()),
-                "least": np.concatenate([least, least[i_of]]),
-                "others": pa.array([vh[c[s]] for s in own] + [None] * len(further), type=pa.list_(pa.int64())),
-                "sims": pa.array([sim[s] for s in own] + [None] * len(further), type=pa.list_(pa.float64())),
+                "kind": np.repeat([0, 1], [len(vh), len(further)]).astype(np.int8),
+                "part": np.concatenate([t.column("part").to_numpy(), np.array([p for _, p in further], dtype=np.int32)]),
+                "vh": vh[rows],
+                "vec": t.column("vec").combine_chunks().take(pa.array(rows)),
+                "least": least[rows],
             },
             schema=search_schema,
         )
 
     def elsewhere(t: pa.Table) -> pa.Table:
-        """Home results, and what the queries from other parts find here that is near enough."""
-        t = t.combine_chunks()
+        """What members find among themselves, and what queries from other parts find here that is near enough."""
         kind = t.column("kind").to_numpy()
         vh = t.column("vh").to_numpy()
         x = _unit(_matrix(t.column("vec").combine_chunks()))
         member, query = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        others, sims = t.column("others").combine_chunks(), t.column("sims").combine_chunks()
-        size = np.diff(np.asarray(others.offsets)) if len(others) else np.zeros(0, dtype=np.int64)
-        a, b, s = [np.repeat(vh, size)], [np.asarray(others.flatten())], [np.asarray(sims.flatten())]
+        a, b, s = [], [], []
+        if len(member):
+            r, c, sim = within(x[member])
+            a.append(vh[member[r]])
+            b.append(vh[member[c]])
+            s.append(sim)
         if len(member) and len(query):
-            least = t.column("least").to_numpy()[query]
-            r, c, _ = _top(x[query].astype(np.float32), x[member].astype(np.float32), keep, least)
-            exact = np.round(np.einsum("ij,ij->i", x[query[r]], x[member[c]]), 9)
-            order = np.lexsort((-exact, r))
-            r, c, exact = r[order], c[order], exact[order]
-            first = np.searchsorted(r, r)  # keep the best of each query
-            best = np.arange(len(r)) - first < keep
-            a.append(vh[query[r[best]]])
-            b.append(vh[member[c[best]]])
-            s.append(exact[best])
-        return pa.table({"vh": np.concatenate(a), "other": np.concatenate(b).astype(np.int64), "similarity": np.concatenate(s).astype(np.float64)}, schema=found_schema)
+            r, c, _ = _top(x[query].astype(np.float32), x[member].astype(np.float32), keep, t.column("least").to_numpy()[query])
+            r, c, sim = _best(r, c, np.round(np.einsum("ij,ij->i", x[query[r]], x[member[c]]), 9), keep)
+            a.append(vh[query[r]])
+            b.append(vh[member[c]])
+            s.append(sim)
+        none = np.zeros(0, dtype=np.int64)
+        return pa.table({"vh": np.concatenate([none, *a]), "other": np.concatenate([none, *b]), "similarity": np.concatenate([none.astype(float), *s])}, schema=found_schema)
 
     found = (
         vectors.mapInArrow(route, "part int, vh long, vec binary, probes array<int>")
         .groupBy("part")
-        .applyInArrow(at_home, "kind byte, part int, vh long, vec binary, least float, others array<long>, sims array<double>")
+        .applyInArrow(at_home, "kind byte, part int, vh long, vec binary, least float")
         .groupBy("part")
         .applyInArrow(elsewhere, "vh long, other long, similarity double")
     )

@@ -487,13 +487,19 @@ def missing_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- hybrid search -----------------------------------------------------------------------------------
 
 
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set of text searches: every asked query whose number is divisible by 100."""
+    return _asked(spark, sf_dir).where(F.conv(F.substring("query_id", 3, 8), 16, 10).cast("long") % 100 == 0)
+
+
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _asked(spark, sf_dir).select("query_id", t.keywords(F.col("q")).alias("keywords"))
+    q = _searched(spark, sf_dir).select("query_id", t.keywords(F.col("q")).alias("keywords"))
     files = _memories(spark, sf_dir, "uri", "content").where("uri IS NOT NULL AND content IS NOT NULL").groupBy("uri").agg(F.max("content").alias("text"))
     return search.lexical(files, q, 10)
 
 
-_LEX = rf"""WITH q AS (SELECT query_id, unnest({_KEYS}) AS word FROM ({_ASKED})),
+_SEARCHED = _ASKED + " AND ('0x' || substr(query_id, 3, 8))::BIGINT % 100 = 0"
+_LEX = rf"""WITH q AS (SELECT query_id, unnest({_KEYS}) AS word FROM ({_SEARCHED})),
 f AS (SELECT uri, max(content) AS text FROM memories WHERE uri IS NOT NULL AND content IS NOT NULL GROUP BY uri),
 w AS (SELECT DISTINCT uri, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}+#]+')) AS word FROM f),
 h AS (SELECT query_id, uri, count(*) AS hits FROM w JOIN q USING (word) GROUP BY ALL),
@@ -548,7 +554,7 @@ def archived_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _LEX
-    + rf""", k AS (SELECT query_id, {_KEYS} AS keys, {_ENTS} AS ents FROM ({_ASKED})),
+    + rf""", k AS (SELECT query_id, {_KEYS} AS keys, {_ENTS} AS ents FROM ({_SEARCHED})),
 b AS (SELECT r.query_id, r.uri, r.score, lower(left(f.text, 200)) AS s, keys, ents FROM r JOIN f USING (uri) JOIN k USING (query_id) WHERE n <= 10)
 SELECT query_id, uri, round(score + round(CASE WHEN ends_with(uri, '.md') AND NOT regexp_matches(uri, '/\.(abstract|overview)\.md$') THEN 0.12 ELSE -0.12 END
   + least(len(list_filter(keys, lambda x: contains(s, x))), 4) * 0.03 + least(len(list_filter(ents, lambda x: contains(s, lower(x)))), 3) * 0.05
@@ -558,7 +564,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword candidates of every asked query, re-ranked by path, keywords and entities of their snippet."""
     lex = _lexical(spark, sf_dir)
     files = _memories(spark, sf_dir, "uri", "content").where("uri IS NOT NULL AND content IS NOT NULL").groupBy("uri").agg(F.max("content").alias("text"))
-    q = _asked(spark, sf_dir).select("query_id", t.keywords(F.col("q")).alias("keys"), t.entities(F.col("q")).alias("ents"))
+    q = _searched(spark, sf_dir).select("query_id", t.keywords(F.col("q")).alias("keys"), t.entities(F.col("q")).alias("ents"))
     x = lex.join(files.select("uri", F.left("text", F.lit(200)).alias("snippet")), "uri").join(q, "query_id")
     return x.select("query_id", "uri", F.round(F.col("score") + search.rerank_bonus(F.col("uri"), F.col("snippet"), F.col("keys"), F.col("ents")), 6).alias("score"))
 

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from mnemora.llm.common import batch, chunks
 
-#: Bounds of the training sample: documents for each language label, lines for each label, characters of a line.
-SAMPLE_DOCUMENTS, SAMPLE_LINES, SAMPLE_CHARS = 400, 600, 300
+#: Bounds of the training sample: documents and lines for each language label, lines of a document, characters of a line.
+SAMPLE_DOCUMENTS, SAMPLE_LINES, DOCUMENT_LINES, SAMPLE_CHARS = 400, 600, 40, 300
 #: Size of the hashed feature space.
 FEATURES = 1 << 13
 #: Least gain of a repair, in nats: for each bigram, and over the whole text.
@@ -256,7 +256,7 @@ def training_lines(documents: DataFrame) -> list[tuple[str, str]]:
         "lang", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x00-\x7f]")).alias("x")
     )
     found: dict[str, list[str]] = {}
-    for lang, x in picked.select("lang", F.slice(F.transform("x", lambda v: F.left(v, F.lit(SAMPLE_CHARS))), 1, 40)).sort("lang", F.xxhash64("x")).toLocalIterator():
+    for lang, x in picked.select("lang", F.slice(F.transform("x", lambda v: F.left(v, F.lit(SAMPLE_CHARS))), 1, DOCUMENT_LINES)).sort("lang", F.xxhash64("x")).toLocalIterator():
         own = found.setdefault(lang, [])
         own += x[: max(0, SAMPLE_LINES - len(own))]
     return [(lang, x) for lang, own in found.items() for x in own]

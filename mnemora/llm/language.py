@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from mnemora.llm.common import batch, chunks, codepoints, mix64
 
-#: Bounds of the training sample, by language.
-SAMPLE_DOCUMENTS, SAMPLE_SENTENCES = 400, 3000
+#: Bounds of the training sample: documents and sentences of each language, characters of a document.
+SAMPLE_DOCUMENTS, SAMPLE_SENTENCES, SAMPLE_CHARS = 400, 3000, 6000
 #: Hashed features; n-grams of one to three characters.
 FEATURES, ORDERS = 1 << 15, 3
 #: FTRL-proximal: learning rate, its smoothing, and the elastic-net penalties.
@@ -227,7 +227,7 @@ def training_sentences(documents: DataFrame) -> list[tuple[str, str]]:
         .where(F.col("n") <= SAMPLE_DOCUMENTS)
         .select("doc_id")
     )
-    rows = documents.join(picked, "doc_id").select("lang", F.left("text", F.lit(6000)).alias("text")).sort("lang", F.xxhash64("text"))
+    rows = documents.join(picked, "doc_id").select("lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).sort("lang", F.xxhash64("text"))
     found: dict[str, dict[str, None]] = {}
     for row in rows.toLocalIterator():
         own = found.setdefault(row["lang"], {})

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ INTENT_RULES = (
 )
 #: Rows of the two sides that one task compares.
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 16_384
+#: Queries of one keyword scan; more take several scans.
+ASKED_BLOCK = 20_000
 
 _KEYS = pa.schema([("q", pa.int64()), ("v", pa.int64()), ("score", pa.float64())])
 
@@ -177,6 +182,67 @@ def lexical(files: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     return scored.withColumn("r", rank).where(F.col("r") <= limit).select("query_id", "uri", "hits", "score")
 
 
+_HITS_DDL = "query_id string, uri string, hits long"
+
+
+def _holding(shared: Broadcast[list[tuple[str, list[str]]]], limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over (uri, lower-cased text) that counts each query's keywords in every text; with a limit a batch gives only the best of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        asking: dict[str, list[int]] = {}
+        for i, (_, words) in enumerate(shared.value):
+            for w in words or ():
+                asking.setdefault(w, []).append(i)
+        words = ahocorasick.Automaton()
+        for w, some in asking.items():
+            words.add_word(w, (w, np.array(some)))
+        words.make_automaton()
+        ids = pa.array([i for i, _ in shared.value], pa.string())
+        for rb in batches:
+            q, file, hits = ([np.zeros(0, dtype=np.int64)] for _ in range(3))
+            for n, text in enumerate(rb.column(1).to_pylist()):
+                found = dict(x for _, x in words.iter(text)) if len(words) else {}
+                if found:
+                    count = np.bincount(np.concatenate(list(found.values())))
+                    q.append(np.flatnonzero(count))
+                    file.append(np.full(len(q[-1]), n))
+                    hits.append(count[q[-1]])
+            q, file, hits = np.concatenate(q), np.concatenate(file), np.concatenate(hits)
+            if limit is not None:
+                uris = rb.column(0).to_pylist()
+                place = np.empty(len(uris), dtype=np.int64)
+                place[sorted(range(len(uris)), key=uris.__getitem__)] = np.arange(len(uris))
+                order = np.lexsort((place[file], -np.minimum(hits, 6), q))
+                q, file, hits = q[order], file[order], hits[order]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < limit
+                q, file, hits = q[best], file[best], hits[best]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), rb.column(0).take(pa.array(file)).cast(pa.string()), pa.array(hits, pa.int64())], names=["query_id", "uri", "hits"])
+
+    return run
+
+
+def lexical_substrings(files: DataFrame, queries: DataFrame, limit: int | None = 10) -> DataFrame:
+    """Keyword search as `lexical`, but a keyword counts wherever it stands, also within a word; without a limit every hit.
+
+    files hold each uri once. Whole texts are scanned for the keywords of all queries at once, and only the best of each
+    query leave a batch. The stated query set is broadcast, ASKED_BLOCK queries at a time, so a larger set takes more
+    scans and none is left out.
+    """
+    asked = [(r["query_id"], r["words"]) for r in queries.select("query_id", F.array_distinct(F.filter("keywords", lambda w: w != "")).alias("words")).orderBy("query_id").collect()]
+    low = files.where("text IS NOT NULL").select("uri", F.lower("text").alias("text"))
+    hits = None
+    for at in range(0, max(len(asked), 1), ASKED_BLOCK):
+        found = low.mapInArrow(_holding(files.sparkSession.sparkContext.broadcast(asked[at : at + ASKED_BLOCK]), limit), _HITS_DDL)
+        hits = found if hits is None else hits.unionByName(found)
+    scored = hits.withColumn("score", F.round(F.lit(0.13) + F.least("hits", F.lit(6)) * 0.05, 6))
+    if limit is None:
+        return scored
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "uri"))
+    return scored.withColumn("r", rank).where(F.col("r") <= limit).select("query_id", "uri", "hits", "score")
+
+
 def access_events(results: DataFrame) -> DataFrame:
     """One access per final result whose URI names a memory: scope, owner_id, memory_id."""
     return results.select(u.owner(F.col("uri")).alias("o")).where("o IS NOT NULL").select("o.*")

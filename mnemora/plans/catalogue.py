@@ -492,10 +492,13 @@ def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir).where(F.conv(F.substring("query_id", 3, 8), 16, 10).cast("long") % 100 == 0)
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memories(spark, sf_dir, "uri", "content").where("uri IS NOT NULL AND content IS NOT NULL").groupBy("uri").agg(F.max("content").alias("text"))
+
+
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _searched(spark, sf_dir).select("query_id", t.keywords(F.col("q")).alias("keywords"))
-    files = _memories(spark, sf_dir, "uri", "content").where("uri IS NOT NULL AND content IS NOT NULL").groupBy("uri").agg(F.max("content").alias("text"))
-    return search.lexical(files, q, 10)
+    return search.lexical(_files(spark, sf_dir), q, 10)
 
 
 _SEARCHED = _ASKED + " AND ('0x' || substr(query_id, 3, 8))::BIGINT % 100 = 0"
@@ -512,6 +515,16 @@ def lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir)
 
 
+_LEX_SUB = _LEX.replace("FROM w JOIN q USING (word) GROUP BY", "FROM f JOIN q ON contains(lower(f.text), word) GROUP BY")
+
+
+@query(_LEX_SUB + "SELECT query_id, uri, hits, score FROM r WHERE n <= 10")
+def lexical_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As lexical_scan, but keywords count wherever they stand in a text."""
+    q = _searched(spark, sf_dir).select("query_id", t.keywords(F.col("q")).alias("keywords"))
+    return search.lexical_substrings(_files(spark, sf_dir), q, 10)
+
+
 _HITS = """WITH m AS (SELECT DISTINCT id, uri, content, importance_score::DOUBLE AS s FROM memories WHERE uri IS NOT NULL AND importance_score IS NOT NULL)
 """
 

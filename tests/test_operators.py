@@ -107,6 +107,17 @@ def test_fusion(spark):
     assert {(x["q"], x["uri"], x["score"], x["snippet"]) for x in search.fill_from(base, extra, ["q"]).collect()} == {(1, "u1", 0.5, "filled"), (2, "u5", 0.1, "alone")}
 
 
+def test_keywords_within_words(spark, monkeypatch):
+    files = spark.createDataFrame([("u1", "Gardening at noon"), ("u2", "我们在杭州的花园里"), ("u3", "garden"), ("u4", "nothing"), ("u5", "")], "uri string, text string")
+    q = spark.createDataFrame([("a", ["garden", "noon", "arden"]), ("b", ["杭州的"]), ("c", []), ("d", ["absent"])], "query_id string, keywords array<string>")
+    want = {("a", "u1", 3, 0.28), ("a", "u3", 2, 0.23), ("b", "u2", 1, 0.18)}
+    assert {tuple(r) for r in search.lexical_substrings(files, q).collect()} == want
+    monkeypatch.setattr(search, "ASKED_BLOCK", 1)  # several scans
+    assert {tuple(r) for r in search.lexical_substrings(files, q, None).select("query_id", "uri", "hits", "score").collect()} == want
+    assert {tuple(r) for r in search.lexical_substrings(files, q, 1).collect()} == want - {("a", "u3", 2, 0.23)}
+    assert search.lexical_substrings(files, q.limit(0)).count() == 0
+
+
 def test_evaluation(spark):
     r = spark.createDataFrame([(1, True, 1.0, 10), (1, False, 3.0, 10), (2, None, 2.0, 5)], "category int, correct boolean, seconds double, tokens long")
     s = {x["category"]: (x["total"], x["correct"], x["score"]) for x in evaluate.judge_summary(r).collect()}

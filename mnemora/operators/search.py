@@ -182,11 +182,16 @@ def lexical(files: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     return scored.withColumn("r", rank).where(F.col("r") <= limit).select("query_id", "uri", "hits", "score")
 
 
-_HITS_DDL = "query_id string, uri string, hits long"
+_HITS_DDL = "query_id string, uri string, hits long, snippet string"
+#: Characters of a match snippet, and those before the match.
+SNIPPET, BEFORE = 220, 80
 
 
 def _holding(shared: Broadcast[list[tuple[str, list[str]]]], limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A map over (uri, lower-cased text) that counts each query's keywords in every text; with a limit a batch gives only the best of each query."""
+    """A map over (uri, lower-cased text, text) that counts each query's keywords in every text.
+
+    With a limit a batch gives only the best of each query; without one every hit, with the text around its first keyword.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -200,15 +205,29 @@ def _holding(shared: Broadcast[list[tuple[str, list[str]]]], limit: int | None)
             words.add_word(w, (w, np.array(some)))
         words.make_automaton()
         ids = pa.array([i for i, _ in shared.value], pa.string())
-        for rb in batches:
+        # Where every hit is given, a few texts at a time, as each may be one of every query.
+        size = 10_000 if limit is not None else max(1, 50_000 // max(len(ids), 1))
+        for rb in (x.slice(at, size) for x in batches for at in range(0, x.num_rows, size)):
             q, file, hits = ([np.zeros(0, dtype=np.int64)] for _ in range(3))
-            for n, text in enumerate(rb.column(1).to_pylist()):
-                found = dict(x for _, x in words.iter(text)) if len(words) else {}
-                if found:
-                    count = np.bincount(np.concatenate(list(found.values())))
-                    q.append(np.flatnonzero(count))
-                    file.append(np.full(len(q[-1]), n))
-                    hits.append(count[q[-1]])
+            snippets: list[str] = []
+            for n, (low, text) in enumerate(zip(rb.column(1).to_pylist(), rb.column(2).to_pylist(), strict=True)):
+                found: dict[str, tuple[int, np.ndarray]] = {}
+                for last, (w, some) in words.iter(low) if len(words) else ():
+                    if w not in found:
+                        found[w] = (last - len(w) + 1, some)
+                if not found:
+                    continue
+                count = np.bincount(np.concatenate([some for _, some in found.values()]))
+                q.append(np.flatnonzero(count))
+                file.append(np.full(len(q[-1]), n))
+                hits.append(count[q[-1]])
+                if limit is None:
+                    first = np.full(len(count), len(text))
+                    for at, some in found.values():
+                        first[some] = np.minimum(first[some], at)
+                    starts, which = np.unique(np.maximum(first[q[-1]] - BEFORE, 0), return_inverse=True)
+                    parts = [("..." if a else "") + text[a : a + SNIPPET].strip() for a in starts.tolist()]
+                    snippets += [parts[i] for i in which]
             q, file, hits = np.concatenate(q), np.concatenate(file), np.concatenate(hits)
             if limit is not None:
                 uris = rb.column(0).to_pylist()
@@ -218,20 +237,21 @@ def _holding(shared: Broadcast[list[tuple[str, list[str]]]], limit: int | None)
                 q, file, hits = q[order], file[order], hits[order]
                 best = np.arange(len(q)) - np.searchsorted(q, q) < limit
                 q, file, hits = q[best], file[best], hits[best]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), rb.column(0).take(pa.array(file)).cast(pa.string()), pa.array(hits, pa.int64())], names=["query_id", "uri", "hits"])
+            around = pa.array(snippets, pa.string()) if limit is None else pa.nulls(len(q), pa.string())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), rb.column(0).take(pa.array(file)).cast(pa.string()), pa.array(hits, pa.int64()), around], names=["query_id", "uri", "hits", "snippet"])
 
     return run
 
 
 def lexical_substrings(files: DataFrame, queries: DataFrame, limit: int | None = 10) -> DataFrame:
-    """Keyword search as `lexical`, but a keyword counts wherever it stands, also within a word; without a limit every hit.
+    """Keyword search as `lexical`, but a keyword counts wherever it stands, also within a word; without a limit every hit, and its snippet.
 
     files hold each uri once. Whole texts are scanned for the keywords of all queries at once, and only the best of each
     query leave a batch. The stated query set is broadcast, ASKED_BLOCK queries at a time, so a larger set takes more
     scans and none is left out.
     """
     asked = [(r["query_id"], r["words"]) for r in queries.select("query_id", F.array_distinct(F.filter("keywords", lambda w: w != "")).alias("words")).orderBy("query_id").collect()]
-    low = files.where("text IS NOT NULL").select("uri", F.lower("text").alias("text"))
+    low = files.where("text IS NOT NULL").select("uri", F.lower("text").alias("low"), F.lit("").alias("text") if limit is not None else F.col("text"))
     hits = None
     for at in range(0, max(len(asked), 1), ASKED_BLOCK):
         found = low.mapInArrow(_holding(files.sparkSession.sparkContext.broadcast(asked[at : at + ASKED_BLOCK]), limit), _HITS_DDL)
@@ -243,6 +263,23 @@ def lexical_substrings(files: DataFrame, queries: DataFrame, limit: int | None =
     return scored.withColumn("r", rank).where(F.col("r") <= limit).select("query_id", "uri", "hits", "score")
 
 
+def hybrid(vector: DataFrame, lexical: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """Vector and keyword lists merged, every candidate re-ranked, then cut: query_id, uri, score.
+
+    vector: query_id, uri, score, snippet, source, ordinal (the layered, semantic and expansion lists); lexical: query_id,
+    uri, score, snippet (uncut); queries: query_id, keywords, entities (the stated set, broadcast). Ties go to the smaller URI.
+    """
+
+    def best(df: DataFrame) -> DataFrame:
+        bonus = rerank_bonus(F.col("uri"), F.coalesce("snippet", F.lit("")), F.col("keywords"), F.col("entities"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), "uri"))
+        return df.join(F.broadcast(queries), "query_id").withColumn("final", F.round(F.col("score") + bonus, 6)).withColumn("r", rank).where(F.col("r") <= limit)
+
+    # A keyword hit that isn't among the best re-ranked ones of its own list can't be among those of both.
+    own = best(lexical).select("query_id", "uri", "score", "snippet", F.lit("lexical").alias("source"), F.lit(3).alias("ordinal"))
+    return best(merge_sources(vector.unionByName(own), ["query_id"])).select("query_id", "uri", F.col("final").alias("score"))
+
+
 def access_events(results: DataFrame) -> DataFrame:
     """One access per final result whose URI names a memory: scope, owner_id, memory_id."""
     return results.select(u.owner(F.col("uri")).alias("o")).where("o IS NOT NULL").select("o.*")

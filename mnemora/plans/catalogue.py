@@ -582,6 +582,24 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("query_id", "uri", F.round(F.col("score") + search.rerank_bonus(F.col("uri"), F.col("snippet"), F.col("keys"), F.col("ents")), 6).alias("score"))
 
 
+@query(
+    _LEX_SUB
+    + rf""", k AS (SELECT query_id, {_KEYS} AS keys, {_ENTS} AS ents FROM ({_SEARCHED})),
+c AS (SELECT r.query_id, r.uri, r.score, f.text, keys, ents, greatest(coalesce(list_min(list_filter(list_transform(keys, lambda x: strpos(lower(f.text), x)), lambda x: x > 0)), 1) - 80, 1) AS start FROM r JOIN f USING (uri) JOIN k USING (query_id)),
+b AS (SELECT *, lower(substr(text, start, 220)) AS s FROM c),
+x AS (SELECT query_id, uri, round(score + round(CASE WHEN ends_with(uri, '.md') AND NOT regexp_matches(uri, '/\.(abstract|overview)\.md$') THEN 0.12 ELSE -0.12 END
+  + least(len(list_filter(keys, lambda x: contains(s, x))), 4) * 0.03 + least(len(list_filter(ents, lambda x: contains(s, lower(x)))), 3) * 0.05
+  + CASE WHEN regexp_matches(lower(uri), '/(entities|events|goals|relationships)$') THEN -0.14 WHEN contains(lower(uri), '/entities/') THEN -0.08 ELSE 0 END, 6), 6) AS score FROM b)
+SELECT query_id, uri, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uri) AS n FROM x) WHERE n <= 10"""
+)
+def hybrid_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every keyword candidate of every asked query re-ranked on its match, then cut. The tables hold no vectors of questions, so the vector list is empty."""
+    q = _searched(spark, sf_dir).select("query_id", t.keywords(F.col("q")).alias("keywords"), t.entities(F.col("q")).alias("entities"))
+    lex = search.lexical_substrings(_files(spark, sf_dir), q, None).select("query_id", "uri", "score", "snippet")
+    none = spark.createDataFrame([], "query_id string, uri string, score double, snippet string, source string, ordinal int")
+    return search.hybrid(none, lex, q, 10).select("query_id", "uri", "score")
+
+
 @query(
     _LEX + rf"""SELECT s[1] AS scope, s[2] AS owner_id, regexp_replace(s[-1], '\.md$', '') AS memory_id, count(*) AS n_accesses FROM (SELECT {_SEG.format('uri')} AS s FROM r WHERE n <= 10) WHERE len(s) >= 3 GROUP BY ALL"""
 )

@@ -118,6 +118,17 @@ def test_keywords_within_words(spark, monkeypatch):
     assert search.lexical_substrings(files, q.limit(0)).count() == 0
 
 
+def test_hybrid_cuts_after_the_rerank(spark):
+    q = spark.createDataFrame([("q", ["garden"], ["Ada"])], "query_id string, keywords array<string>, entities array<string>")
+    tied = [("q", f"mem://user/u/a{i:02d}", 0.18, "a garden") for i in range(12)]
+    lex = spark.createDataFrame([*tied, ("q", "mem://user/u/z.md", 0.18, "Ada's garden")], "query_id string, uri string, score double, snippet string")
+    vec = spark.createDataFrame([("q", "mem://user/u/v.md", 0.9, None, "layered", 0), ("q", "mem://user/u/z.md", 0.1, None, "semantic", 1)], "query_id string, uri string, score double, snippet string, source string, ordinal int")
+    got = [tuple(r)[1:] for r in search.hybrid(vec, lex, q, 3).orderBy(F.desc("score"), "uri").collect()]
+    assert got == [("mem://user/u/v.md", 1.02), ("mem://user/u/z.md", 0.38), ("mem://user/u/a00", 0.09)]
+    files = spark.createDataFrame([("u", "x" * 300 + " Garden " + "y" * 300)], "uri string, text string")
+    assert [r["snippet"] for r in search.lexical_substrings(files, q, None).collect()] == ["..." + "x" * 79 + " Garden " + "y" * 133]
+
+
 def test_evaluation(spark):
     r = spark.createDataFrame([(1, True, 1.0, 10), (1, False, 3.0, 10), (2, None, 2.0, 5)], "category int, correct boolean, seconds double, tokens long")
     s = {x["category"]: (x["total"], x["correct"], x["score"]) for x in evaluate.judge_summary(r).collect()}

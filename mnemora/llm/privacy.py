@@ -315,7 +315,7 @@ def _names(texts: DataFrame, seen: DataFrame, found: Lexicon) -> None:
                 yield "around", folded[a:b].lower(), left, "name"
 
     if lexicon:
-        context = cut(texts.select("text").mapInArrow(_distinct_rows(around), _EDGE_DDL).groupBy("family", "instance", "pattern").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+        context = cut(texts.select("text").mapInArrow(_counted_rows(around), _EDGE_DDL + ", n long").groupBy("family", "instance", "pattern").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")))
         # A word that is mostly written small is no name, whatever addresses hold it.
         case = context.where("family = 'case'").groupBy("instance").agg(F.sum(F.when(F.col("pattern") == "capital", F.col("n")).otherwise(0)).alias("c"), F.sum("n").alias("n"))
         found.names = {r["instance"] for r in case.where("c >= 0.5 * n").limit(MOST_NAMES).collect()}

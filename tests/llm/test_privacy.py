@@ -42,5 +42,11 @@ def test_bootstrap_finds_names_and_bare_numbers(spark):
     assert not any(k.startswith("q") for k in got) and "null" not in got and "empty" not in got
 
 
+def test_a_word_mostly_written_small_is_no_name(spark):
+    rows = [("e", "Write to notes@mail.example.test please"), ("c", "See NOTES here"), *((f"s{i}", f"see notes {i} here") for i in range(30))]
+    df = spark.createDataFrame(rows, "id string, content string").coalesce(1)  # both forms in one batch
+    assert {r["message_id"] for r in p.masked(df).collect()} == {"e"}
+
+
 def test_empty(spark):
     assert p.masked(spark.createDataFrame([], "id string, content string")).count() == 0

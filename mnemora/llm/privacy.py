@@ -27,6 +27,8 @@ from mnemora.session import cut
 
 #: Rounds of scoring, least score of a pattern or instance, least distinct instances of a pattern.
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.6, 3
+#: Score from which a pattern alone tells a name.
+CERTAIN = 0.95
 #: Bounds of what is broadcast, far above what natural text needs.
 MOST_PATTERNS, MOST_NAMES = 50_000, 100_000
 
@@ -137,6 +139,7 @@ class Lexicon:
 
     patterns: dict[str, dict[str, float]] = field(default_factory=dict)
     names: set[str] = field(default_factory=set)
+    places: set[str] = field(default_factory=set)  # patterns that only names follow
     surnames: set[str] = field(default_factory=set)
     given: set[str] = field(default_factory=set)
     _han: re.Pattern | None = None
@@ -339,10 +342,16 @@ def _names(texts: DataFrame, seen: DataFrame, found: Lexicon) -> None:
         if patterns:
             graph = cut(texts.select("text").mapInArrow(_counted_rows(within), _EDGE_DDL + ", n long").groupBy("instance", "pattern", "seed").agg(F.sum("n").alias("n")))
             # Weighed by occurrences: a place where sentences begin holds few words, but those often.
-            sure = graph.groupBy("pattern").agg((F.sum(F.when(F.col("seed") == "name", F.col("n")).otherwise(0)) / F.sum("n")).alias("score"), F.count("*").alias("k"))
-            sure = sure.where((F.col("score") >= 0.85) & (F.col("k") >= SUPPORT)).orderBy(F.desc("k"), "pattern").limit(MOST_PATTERNS).select("pattern")
-            told = graph.where("seed = ''").join(F.broadcast(sure), "pattern").groupBy("instance").agg(F.countDistinct("pattern").alias("k"))
-            found.names |= {r["instance"] for r in told.where("k >= 2").orderBy(F.desc("k"), "instance").limit(MOST_NAMES).collect()}
+            # Scored in rounds: what confident patterns tell counts as a name when the patterns are scored again.
+            known = graph.where("seed = 'name'").select("instance").distinct()
+            for _ in range(ROUNDS):
+                marked = graph.join(known.withColumn("known", F.lit(True)), "instance", "left")
+                scored = cut(marked.groupBy("pattern").agg((F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)) / F.sum("n")).alias("score"), F.count("*").alias("k")))
+                sure = scored.where((F.col("score") >= 0.85) & (F.col("k") >= SUPPORT)).orderBy(F.desc("k"), "pattern").limit(MOST_PATTERNS)
+                told = graph.where("seed = ''").join(F.broadcast(sure.select("pattern")), "pattern").groupBy("instance").agg(F.countDistinct("pattern").alias("k")).where("k >= 2")
+                known = cut(known.unionByName(told.select("instance")).distinct())
+            found.names |= {r["instance"] for r in told.orderBy(F.desc("k"), "instance").limit(MOST_NAMES).collect()}
+            found.places = {r["pattern"] for r in sure.where(F.col("score") >= CERTAIN).select("pattern").collect()}
     # Names without blanks: contexts of double surnames tell where a name stands alone up to the next mark.
     han = seen.where("family = 'han'").groupBy("pattern").agg(F.countDistinct("instance").alias("n")).where((F.col("n") >= SUPPORT) & (F.length("pattern") > 3))
     contexts = [r["pattern"][2:] for r in han.orderBy(F.desc("n"), "pattern").limit(1000).collect()]
@@ -427,6 +436,10 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
         if "号" in folded or "弄" in folded:
             for m in ADDRESS_HAN.finditer(folded):
                 add(m.start(), m.end(), "address")
+    if lexicon.places:
+        for m in _CAPITAL.finditer(folded):
+            if before(folded, m.start()) in lexicon.places:
+                add(*_whole_name(folded, *m.span()), "name")
     if lexicon._automaton is not None:
         for a, b in _words_in(folded, lexicon._automaton):
             add(*_whole_name(folded, a, b), "name")

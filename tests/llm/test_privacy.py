@@ -42,6 +42,14 @@ def test_bootstrap_finds_names_and_bare_numbers(spark):
     assert not any(k.startswith("q") for k in got) and "null" not in got and "empty" not in got
 
 
+def test_unseen_name_after_one_certain_pattern(spark):
+    names = ["Imogen", "Petra", "Dorian", "Sadie", "Felix", "Owen", "Tessa", "Maren"]
+    rows = [x for i in range(80) for x in ((f"e{i}", f"Contact: {names[i % 8].lower()}.stone{i}@mail.example.test please"), (f"t{i}", f"We met. My name is {names[i % 8]} Stone. Fine."))]
+    rows += [("new", "My name is Quentin Stone. Bye."), ("none", "The index is Ready.")]
+    got = {r["message_id"]: r["text"] for r in p.masked(spark.createDataFrame(rows, "id string, content string")).collect()}
+    assert got["new"] == "My name is [NAME]. Bye." and "none" not in got
+
+
 def test_a_word_mostly_written_small_is_no_name(spark):
     rows = [("e", "Write to notes@mail.example.test please"), ("c", "See NOTES here"), *((f"s{i}", f"see notes {i} here") for i in range(30))]
     df = spark.createDataFrame(rows, "id string, content string").coalesce(1)  # both forms in one batch

@@ -33,7 +33,7 @@ PART_SIZE, LEAST_PARTS, BRANCH, DEPTH = 1024, 16, 256, 4
 #: A part of so many times PART_SIZE is cut again; one of so many times is cut into blocks.
 SPLIT, BLOCK = 3, 6
 #: Parts are asked until they hold this share of the probability and this many times k vectors, at most PROBES beyond that.
-MASS, ENOUGH, PROBES = 0.85, 20, 12
+MASS, ENOUGH, PROBES = 0.8, 20, 32
 #: Bound of the broadcast tree in bytes; parts grow beyond some 500 million vectors, so that it holds.
 TREE_BYTES = 256 << 20
 HIDDEN = 128

@@ -1,14 +1,16 @@
 """Personal information inside free text.
 
 Method: bootstrapped contextual extraction. Seed entities of an unmistakable form (an e-mail address, a number
-with a country code, a social security number, the name in an e-mail address) induce lexical patterns: the words
-before them and the shape of what is written. Spark scores the graph of patterns and instances iteratively,
-each pattern by the share of its instances that are known, each instance by its patterns. Patterns of high
-confidence then find what has no such form: a phone number without a country code after "ring", a name after
-"my name is", and from those the name wherever else it stands.
-
-Every message is read whole. What is broadcast is the learned patterns and names, at most MOST_PATTERNS and
-MOST_NAMES of the best supported; the graph itself stays distributed.
+with a country code, a social security number, a street with a postcode, the name in an e-mail address) induce
+lexical patterns: the words before them, the shape of what is written, the words a street begins and ends with.
+Spark scores the graph of patterns and instances iteratively, each pattern by the share of its instances that
+are known, each instance by its patterns. Patterns of high confidence then find what has no such form: a phone
+number without a country code after "ring", a street without a postcode after "I live at" or of a kind that
+other streets are of, a name after "my name is", and from those the name wherever else it stands.
+
+Every message is read whole, twice: once to observe the graph's edges, once to find what was learned (texts with
+ideographs once more between). The graph stays distributed; what is broadcast is the confident patterns and the
+names, and more than MOST_PATTERNS or MOST_NAMES of them are refused, never dropped.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from mnemora.session import cut
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.6, 3
 #: Score from which a pattern alone tells a name.
 CERTAIN = 0.95
-#: Bounds of what is broadcast, far above what natural text needs.
-MOST_PATTERNS, MOST_NAMES = 50_000, 100_000
+#: Bounds of what is broadcast (some 200 bytes each in a worker); more is refused before it is gathered.
+MOST_PATTERNS, MOST_NAMES = 500_000, 1_000_000
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -68,49 +70,71 @@ NUMBER = re.compile(r"(?<![A-Za-z0-9_.,=/#@+\-])(?:\(?\+\s?)?\(?\d(?:[ .\-/()]{0
 CODE = re.compile(r"(?<![A-Za-z0-9_\-])(?:[A-Z]{1,2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{1,2}\d{6,9}|[A-Z]\d[A-Z0-9]{7}\d|\d{8} ?-?[A-Z]|[XYZ]-?\d{7}-?[A-Z])(?![A-Za-z0-9_\-])")
 #: What every number above holds: six digits or capitals, little apart.
 _DIGITS = re.compile(r"\d(?:[ .\-/()]{0,2}[\dA-Z]){5}")
-PHONE_SEED = re.compile(r"^(?:\(?\+\)?\(?\s?\d[\d ().\-/]{8,}|\(?\d{3}\)?[ .\-]555[ .\-]\d{4}|07\d{3} ?\d{6}|1[3-9]\d-?\d{4}-?\d{4}|0[1-9](?:[ .]\d\d){4}|00\d\d[ \-][\d \-]{8,})$")
+PHONE_SEED = re.compile(r"^(?:\(?\+\)?\(?\s?\d[\d ().\-/]{8,}|\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}|07\d{3} ?\d{6}|1[3-9]\d-?\d{4}-?\d{4}|0[1-9](?:[ .]\d\d){4}|00\d\d[ \-][\d \-]{8,})$")
 ID_SEED = re.compile(
     r"^(?:\d{3}-\d{2}-\d{4}|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{6} ?(?:19|20)\d{6} ?\d{3}[\dxX]|[12] \d\d \d\d \d\d \d{3} \d{3} \d\d|[12]\d{14}|\d\d \d{3} \d{3} \d{3}"
     r"|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[A-Z]{2}\d{7}|[A-Z]\d[A-Z]\d\d[A-Z]\d{4}|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z])$"
 )
-_STREET = r"(?:street|st|avenue|ave|road|rd|lane|ln|drive|dr|court|ct|terrace|boulevard|blvd|place|square|way|close|crescent|row|walk|hill)"
-ADDRESS = re.compile(
-    r"(?:(?:Flat|Apt|Unit|Suite|flat|apt|FLAT|APT)\.? \d{1,4}[a-zA-Z]?,? )?\b\d{1,5}[a-zA-Z]? (?:[A-Z][\w'’]*[ ]){1,4}?(?i:" + _STREET + r")\b\.?(?:,? (?i:apt|flat|unit)\.? \d{1,4})?(?:,?\s[A-Z][a-z]+)?(?:,? ?ZZ ?\d[\dA-Z ]{2,5})?"
-    r"|(?<![\w\-])\d{1,5}[a-zA-Z]? (?:[a-z][\w'’]*[ ]){1,3}?(?:street|avenue|ave|road|lane|drive|terrace|boulevard|court)\b(?=[,.\s]|$)"
-    r"|\b\d{1,4}(?: ?(?:bis|ter))?,? (?i:rue|avenue|boulevard|chemin|impasse|allee|quai|place|route|cours|passage|bd) (?:(?i:de la|de l'|des|du|de|d')[ ]?)?[\w'’\-]+(?: [A-Z][\w'’\-]+){0,3}(?:, \d{5} [\w\-]+)?"
-    r"|\b(?i:(?:calle|avda\.?|avenida|plaza|paseo|camino|carrer|ronda|rua|av\.|travessa|praca|largo|estrada|alameda|r\.)\s|(?<![\w+/])c/ ?(?=[A-Z]))(?:(?i:de las|de los|de la|del|dos|das|do|da|de) )?[A-Za-z][\w'’\-]*(?: [A-Za-z][\w'’\-]+){0,3},? ?(?i:n\.?\s?[ºo°]\.? ?|numero )?\d{1,5}(?:,? ?-? ?(?i:apto|piso) \d+[ºª]?)?(?:, \d{4,5}(?:-\d{3})? [\w\-]+)?"
-    r"|\b(?:[A-Z][a-z]+(?i:strasse|strase|straSe|str\.|weg|kamp|gasse|platz|allee|ring|damm|ufer|anger|bruch|steig|pfad)|(?:Am|An der|Im|Zum|Zur|Auf dem|In der|An den) (?!Straße|Strase)[A-Z][a-z]+(?:[ \-][A-Z][a-z]+)?) \d{1,4}[a-z]?\b(?:, \d{5} [\w\-]+)?"
-)
-ADDRESS_HAN = re.compile(r"(?:[A-Za-z一-鿿]{2,12}市)?(?:[一-鿿]{2,3}区)?[一-鿿]{1,4}(?:街|路|大道|巷|胡同|道)\d{1,5}(?:号|弄)(?:\d{1,4}号)?(?:\d{1,3}栋)?(?:\d{1,4}室)?")
-#: A street word, one of which every address but a Chinese one holds; only its surroundings are searched.
-_STREET_WORD = (
-    "street st avenue ave road rd lane ln drive dr court ct terrace boulevard blvd Street St Avenue Ave Road Rd Lane Ln Drive Dr Court Ct Terrace Boulevard Blvd Place Square Way Close Crescent Row Walk Hill "
-    "STREET ST AVENUE AVE ROAD RD LANE LN DRIVE DR COURT CT TERRACE rue Rue RUE bd Bd chemin Chemin impasse Impasse allee Allee quai Quai place route cours passage "
-    "calle Calle CALLE c/ C/ avda Avda AVDA avenida Avenida plaza Plaza paseo Paseo camino Camino carrer Carrer ronda Ronda rua Rua RUA av. Av. travessa Travessa praca Praca largo Largo estrada Estrada alameda Alameda R. "
-    "strasse strase straSe stras str. weg kamp gasse platz allee ring damm ufer anger bruch steig pfad STRASSE WEG KAMP Am An Im Zum Zur Auf In"
-).split()
-_STREETS: object = None
-
-
-def _near_streets(folded: str) -> Iterator[tuple[int, int]]:
-    """Stretches around street words that also hold a digit."""
-    global _STREETS
-    if _STREETS is None:
-        import ahocorasick
-
-        _STREETS = ahocorasick.Automaton()
-        for w in _STREET_WORD:
-            _STREETS.add_word(w, w)
-        _STREETS.make_automaton()
-    upto = 0
-    for last, w in _STREETS.iter(folded):
-        a, b = last - len(w) + 1, last + 1
-        if b < len(folded) and folded[b].isalpha() and not w.endswith((".", "/")) or a and folded[a - 1].isalpha() and (w[0].isupper() or len(w) < 3 or not w.isascii()):
-            continue
-        start, stop = max(upto, a - 60), min(len(folded), b + 70)
-        if start < stop and b > upto and any(c.isdigit() for c in folded[start:stop]):
-            yield start, stop
-            upto = b
+#: Postcodes of several countries, which make a street before them a seed; words that link those of a street's name (fixed values).
+_POSTCODE = r"(?:[A-Z]{1,2}\d{1,2}[A-Z]? ?\d[A-Z]{2}\b|[A-Z]{2} \d{5}\b|\d{5,6}(?:-\d{3})? (?=[A-ZΑ-ΩА-ЯЁ]))"
+_LINK = r"(?:(?:de la|de las|de los|de|del|la|le|les|las|los|da|do|das|dos|du|des|der|den|dem|zum|zur|of|the|van|von|di|della|delle|dei|y|e|и) |[dl]['’] ?)"
+_CAP = r"[A-ZΑ-ΩА-ЯЁ][\w'’\-]*"
+#: A house number that stands for itself.
+HOUSE = re.compile(r"(?<![\w.,/:+#@=\-])\d{1,5}[a-zA-Z]?(?: (?:bis|ter))?(?![\w:/%@=])(?!\.\d)")
+#: The street after a number: words with a capital, the first may be small.
+_STREET_AFTER = re.compile(rf",? ((?:{_CAP}|[^\W\d_]{{2,}})(?: {_LINK}?{_CAP}){{1,4}})")
+#: The street before a number, and what may stand between them.
+_STREET_BEFORE = re.compile(rf"(?<![\w'’])((?:[CRcr]/|{_CAP}\.?)(?: {_LINK}?{_CAP}\.?){{0,4}})(,? ?(?:n\.? ?[ºo°]\.? ?|№ ?|numero |дом |д\. ?)?)$")
+_LINKS = re.compile(rf"(?<!\w){_LINK}+$")
+_HEAD = re.compile(r"(?<!\w)[^\W\d_]{3,5}\.? \d{1,4}[a-zA-Z]?, ?$")
+_GOES_ON = re.compile(rf",? ?(?!{_POSTCODE})\d{{1,5}}[a-zA-Z]? {_CAP}")
+_TAIL = re.compile(rf"\.?(?:,? ?-? ?[^\W\d_]{{3,5}}\.? \d{{1,4}}(?:[ºª]|\b))?(?:(?:,\s?|,?\n){_POSTCODE}(?: ?{_CAP})?|(?:,\s?|\.?\n){_CAP}(?:,? {_POSTCODE})?|,? {_POSTCODE})?")
+_HAN_HOUSE = re.compile(r"([一-鿿]{2,14})(\d{1,5})(?:号|號|弄|番地|番|丁目)(?:\d{1,4}(?:号|番|栋|室|楼|层|单元|の))*(?:\d{1,4}(?:号|室)?)?")
+_HAN_UNIT = re.compile(r"(?:栋|室|单元|弄|丁目|番地)|[市区县區縣都府]")
+
+
+@dataclass(frozen=True)
+class Street:
+    """A place where an address may stand: its range, the range of the street's words, what it is called, its patterns, and whether a postcode tells it."""
+
+    start: int
+    end: int
+    name: str
+    patterns: tuple[str, ...]
+    seed: bool
+
+
+def streets(folded: str) -> Iterator[Street]:
+    """What is written like a number and a street, or a street and a number, in any language; without judging whether it is one."""
+    for m in HOUSE.finditer(folded):
+        a, b = m.span()
+        after = _STREET_AFTER.match(folded, b)
+        if after and after.end() - b < 60:
+            words = after.group(1).lower().split(" ")
+            tail = _TAIL.match(folded, after.end())
+            head = _HEAD.search(folded, max(0, a - 14), a)
+            start = head.start() if head else a
+            marks = ("E:" + words[-1], "F:" + words[0], before(folded, start))
+            yield Street(start, tail.end(), " ".join(words), marks, bool(re.search(_POSTCODE, tail.group())))
+        window = folded[max(0, a - 48) : a]
+        ahead = _STREET_BEFORE.search(window.split("\n")[-1])
+        if ahead and not _GOES_ON.match(folded, b):
+            start = a - len(window.split("\n")[-1]) + ahead.start()
+            words = ahead.group(1).lower().split(" ")
+            tail = _TAIL.match(folded, b)
+            marks = ["F:" + words[0], before(folded, start)]
+            links = _LINKS.search(folded, max(0, start - 12), start)
+            if links:
+                marks.append(before(folded, links.start()))
+            if len(words) > 1:
+                marks.append("E:" + words[-1])
+            if len(words[-1]) >= 7:
+                marks += ["X:" + words[-1][-3:], "X:" + words[-1][-5:]]
+            marked = words[0] == "c/" or len(words) > 1 and ahead.group(2).strip(" ,") != ""  # a sign for a street, or for its number
+            yield Street(start, tail.end(), " ".join(words), tuple(marks), marked or bool(re.search(_POSTCODE, tail.group())))
+    for m in _HAN_HOUSE.finditer(folded):
+        run = m.group(1)
+        yield Street(m.start(), m.end(), run[-3:], ("Z:" + run[-1], "H:" + run[:2], "H:" + run[:3]), bool(_HAN_UNIT.search(m.group())))
 
 
 #: Chinese double surnames, the seeds of names written without blanks (fixed values).
@@ -120,7 +144,12 @@ _HAN = re.compile("[一-鿿]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _BEFORE = re.compile(r"[^\W\d_]+|[:(#,.!?\n]")
 _LOCAL = re.compile(r"[a-z]{3,}")
-_CAPITAL = re.compile(r"(?<![^\W\d_])[A-Z][a-z]{2,}(?![^\W\d_])")
+#: Words with a capital, in alphabets that have capitals.
+_CAPITAL = re.compile(r"(?<![^\W\d_])[A-ZΑ-ΩА-ЯЁ][a-zα-ωа-яё]{2,}(?![^\W\d_])")
+_UPPER = re.compile(r"(?<![^\W\d_])[A-ZΑ-ΩА-ЯЁ]{3,}(?![^\W\d_])")
+_LOWER = re.compile(r"(?<![^\W\d_])[a-zα-ωа-яё]{3,}(?![^\W\d_])")
+#: Names before an e-mail address in brackets.
+_SENDER = re.compile(rf"({_CAP}(?: {_CAP}){{0,2}}) ?[<(]$")
 
 
 def shape(text: str) -> str:
@@ -199,57 +228,61 @@ def _words_in(folded: str, automaton: object) -> Iterator[tuple[int, int]]:
         low = folded
     for last, n in automaton.iter(low):
         a, b = last - n + 1, last + 1
-        if (a and (low[a - 1].isalnum() and low[a - 1].isascii() or low[a - 1] in "@_+")) or (b < len(low) and (low[b].isalnum() and low[b].isascii() or low[b] in "@_")):
+        if (a and (low[a - 1].isalnum() and low[a - 1] < "\u2e80" or low[a - 1] in "@_+")) or (b < len(low) and (low[b].isalnum() and low[b] < "\u2e80" or low[b] in "@_")):
             continue
         yield a, b
 
 
 # -- the graph ---------------------------------------------------------------------------------------
 
-_EDGE = pa.schema([("family", pa.string()), ("instance", pa.string()), ("pattern", pa.string()), ("seed", pa.string())])
-_EDGE_DDL = "family string, instance string, pattern string, seed string"
+_EDGE = pa.schema([("family", pa.string()), ("instance", pa.string()), ("pattern", pa.string()), ("seed", pa.string()), ("n", pa.int64())])
+_EDGE_DDL = "family string, instance string, pattern string, seed string, n long"
 
+Edge = tuple[str, str, str, str]
 
-def _distinct_rows(each: Callable[[str], Iterator[tuple[str, str, str, str]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A map over texts that gives each row once in a batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            rows = {row: None for text in rb.column(0).to_pylist() for row in each(text)}
-            if rows:
-                yield batch(_EDGE, **dict(zip(_EDGE.names, zip(*rows, strict=True), strict=True)))
-
-    return run
-
-
-def _counted_rows(each: Callable[[str], Iterator[tuple[str, str, str, str]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counted(each: Callable[[str], Iterator[Edge]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A map over texts that gives each row once in a batch, with its number of occurrences."""
-    schema = _EDGE.append(pa.field("n", pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            rows: dict[tuple[str, str, str, str], int] = {}
+            rows: dict[Edge, int] = {}
             for text in rb.column(0).to_pylist():
                 for row in each(text):
                     rows[row] = rows.get(row, 0) + 1
             if rows:
-                yield batch(schema, n=list(rows.values()), **dict(zip(_EDGE.names, zip(*rows, strict=True), strict=True)))
+                yield batch(_EDGE, n=list(rows.values()), **dict(zip(_EDGE.names[:4], zip(*rows, strict=True), strict=True)))
 
     return run
 
 
-def _observe(text: str) -> Iterator[tuple[str, str, str, str]]:
-    """Edges of numbers, and seed names: words of e-mail addresses and double-surname names with what stands before."""
+def _observe(text: str) -> Iterator[Edge]:
+    """All edges of a text: numbers, streets, seed names, every word with a capital and what stands before it, and the small forms of words."""
     folded = fold(text)
     taken = emails(folded)
-    for _, _, local in taken:
+    for a, _, local in taken:
         for w in _LOCAL.findall(local.lower()):
             yield "name", w, "in an address", "name"
-    for a, b, seed in numbers(folded):
-        if not any(x < b and a < y for x, y, _ in taken):
-            number = folded[a:b]
-            yield "number", number, shape(number), seed
-            yield "number", number, before(folded, a), seed
+        sender = _SENDER.search(folded, max(0, a - 60), a)
+        for w in _CAPITAL.findall(sender.group(1)) if sender else ():
+            yield "name", w.lower(), "before an address", "name"
+    if any(c.isdigit() for c in folded):
+        for a, b, seed in numbers(folded):
+            if not any(x < b and a < y for x, y, _ in taken):
+                number = folded[a:b]
+                yield "number", number, shape(number), seed
+                yield "number", number, before(folded, a), seed
+        for x in streets(folded):
+            for pattern in set(x.patterns):
+                yield "street", x.name, pattern, "address" if x.seed else ""
+    for a, b, _ in reversed(taken):  # names within addresses don't count
+        folded = folded[:a] + "\x00" * (b - a) + folded[b:]
+    for m in _CAPITAL.finditer(folded):
+        yield "word", m.group().lower(), before(folded, m.start()), "capital"
+    for w in _UPPER.findall(folded):
+        yield "word", w.lower(), "", "capital"
+    for w in _LOWER.findall(folded):
+        yield "word", w, "", "small"
     for m in _HAN_SEED.finditer(folded):
         run = _HAN.search(folded, m.start())
         left = folded[max(0, m.start() - 6) : m.start()]
@@ -285,131 +318,81 @@ def score(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return patterns
 
 
+def _gathered(df: DataFrame, most: int, what: str) -> list:
+    """The rows of a small table; more than `most` are refused before they are gathered."""
+    df = cut(df)
+    if (n := df.count()) > most:
+        raise ValueError(f"{n} {what} were learned; at most {most} are broadcast")
+    return df.collect()
+
+
 def learn(texts: DataFrame) -> Lexicon:
     """The lexicon of a column of texts. Texts without any seed give an empty one."""
-    some = texts.where(F.col("text").rlike(r"[0-9０-９@]|(?i:at[\])])|(?i: at )|" + "|".join(DOUBLE_SURNAMES)))
-    seen = cut(some.select("text").mapInArrow(_distinct_rows(_observe), _EDGE_DDL).distinct())
-    numeric = score(seen.where("family = 'number'")).where(F.col("score") >= 0.2)
+    seen = cut(texts.select("text").mapInArrow(_counted(_observe), _EDGE_DDL).groupBy("family", "instance", "pattern", "seed").agg(F.sum("n").alias("n")))
+    scored = score(seen.where("family IN ('number', 'street')"))
     found = Lexicon()
-    for r in numeric.orderBy(F.desc("n"), "pattern", "kind").limit(MOST_PATTERNS).collect():
+    for r in _gathered(scored.where(F.col("score") >= 0.2), MOST_PATTERNS, "patterns"):
         found.patterns.setdefault(r["pattern"], {})[r["kind"]] = r["score"]
-    _names(texts, seen, found)
+    _names(seen, found)
+    _han_names(texts, seen, found)
     return found.ready()
 
 
-def _names(texts: DataFrame, seen: DataFrame, found: Lexicon) -> None:
+def _names(seen: DataFrame, found: Lexicon) -> None:
     """Learn names: from seeds to the patterns around them, from confident patterns to further names."""
-    import ahocorasick
-
-    spark = texts.sparkSession
-    seeds = [r["instance"] for r in seen.where("family = 'name'").groupBy("instance").count().orderBy(F.desc("count"), "instance").limit(MOST_NAMES).collect()]
-    lexicon = Lexicon(names=set(seeds)).ready() if seeds else None
-    shared = spark.sparkContext.broadcast(seeds)
-
-    def around(text: str) -> Iterator[tuple[str, str, str, str]]:
-        """Seed words outside addresses: whether they are written as names, and what stands before them."""
-        folded = fold(text)
-        taken = emails(folded)
-        for a, b in _words_in(folded, _automaton_of(shared.value)):
-            if any(x < b and a < y for x, y, _ in taken):
-                continue
-            yield "case", folded[a:b].lower(), "capital" if folded[a].isupper() else "small", ""
-            if folded[a].isupper() and (left := before(folded, a)) != "L:":
-                yield "around", folded[a:b].lower(), left, "name"
-
-    if lexicon:
-        context = cut(texts.select("text").mapInArrow(_counted_rows(around), _EDGE_DDL + ", n long").groupBy("family", "instance", "pattern").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")))
-        # A word that is mostly written small is no name, whatever addresses hold it.
-        case = context.where("family = 'case'").groupBy("instance").agg(F.sum(F.when(F.col("pattern") == "capital", F.col("n")).otherwise(0)).alias("c"), F.sum("n").alias("n"))
-        found.names = {r["instance"] for r in case.where("c >= 0.5 * n").limit(MOST_NAMES).collect()}
-        # Where a sentence or line begins any word is written with a capital, so such places tell nothing.
-        induced = context.where((F.col("family") == "around") & (F.length("pattern") > 4) & ~F.col("pattern").rlike(r"[.!?\n]$")).groupBy("pattern").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= SUPPORT)
-        patterns = [r["pattern"] for r in induced.orderBy(F.desc("n"), "pattern").limit(MOST_PATTERNS).collect()]
-        # After a name stands another, or whatever follows an unfinished line.
-        patterns = [x for x in patterns if x.split()[-1].removeprefix("L:") not in found.names]
-        both = spark.sparkContext.broadcast((patterns, found.names))
-
-        def within(text: str) -> Iterator[tuple[str, str, str, str]]:
-            """What stands where an induced pattern expects a name."""
-            folded = fold(text)
-            known, names = _sets_of(both.value)
-            for m in _CAPITAL.finditer(folded):
-                left = before(folded, m.start())
-                if left in known:
-                    w = m.group().lower()
-                    yield "name", w, left, "name" if w in names else ""
-
-        if patterns:
-            graph = cut(texts.select("text").mapInArrow(_counted_rows(within), _EDGE_DDL + ", n long").groupBy("instance", "pattern", "seed").agg(F.sum("n").alias("n")))
-            # Weighed by occurrences: a place where sentences begin holds few words, but those often.
-            # Scored in rounds: what confident patterns tell counts as a name when the patterns are scored again.
-            known = graph.where("seed = 'name'").select("instance").distinct()
-            for _ in range(ROUNDS):
-                marked = graph.join(known.withColumn("known", F.lit(True)), "instance", "left")
-                scored = cut(marked.groupBy("pattern").agg((F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)) / F.sum("n")).alias("score"), F.count("*").alias("k")))
-                sure = scored.where((F.col("score") >= 0.85) & (F.col("k") >= SUPPORT)).orderBy(F.desc("k"), "pattern").limit(MOST_PATTERNS)
-                told = graph.where("seed = ''").join(F.broadcast(sure.select("pattern")), "pattern").groupBy("instance").agg(F.countDistinct("pattern").alias("k")).where("k >= 2")
-                known = cut(known.unionByName(told.select("instance")).distinct())
-            found.names |= {r["instance"] for r in told.orderBy(F.desc("k"), "instance").limit(MOST_NAMES).collect()}
-            found.places = {r["pattern"] for r in sure.where(F.col("score") >= CERTAIN).select("pattern").collect()}
-    # Names without blanks: contexts of double surnames tell where a name stands alone up to the next mark.
-    han = seen.where("family = 'han'").groupBy("pattern").agg(F.countDistinct("instance").alias("n")).where((F.col("n") >= SUPPORT) & (F.length("pattern") > 3))
-    contexts = [r["pattern"][2:] for r in han.orderBy(F.desc("n"), "pattern").limit(1000).collect()]
+    words = seen.where("family = 'word'")
+    # A word that is mostly written small is no name, whatever addresses hold it.
+    capital = F.sum(F.when(F.col("seed") == "capital", F.col("n")).otherwise(0))
+    case = words.groupBy("instance").agg(capital.alias("c"), F.sum("n").alias("n")).where("c >= 0.5 * n").select("instance")
+    seeds = seen.where("family = 'name'").select("instance").distinct()
+    names = cut(seeds.join(case, "instance"))
+    places = words.where("pattern <> ''").select("instance", "pattern", "n")
+    # Where a sentence or line begins any word is written with a capital, so such places tell nothing.
+    around = places.where((F.length("pattern") > 4) & ~F.col("pattern").rlike(r"[.!?\n]$")).join(seeds, "instance")
+    induced = around.groupBy("pattern").agg(F.countDistinct("instance").alias("k")).where(F.col("k") >= SUPPORT)
+    # After a name stands another, or whatever follows an unfinished line.
+    last = F.regexp_replace(F.element_at(F.split("pattern", " "), -1), "^L:", "")
+    induced = induced.join(names.select(F.col("instance").alias("last")), last == F.col("last"), "left_anti").select("pattern")
+    # Weighed by occurrences: a place where sentences begin holds few words, but those often.
+    # Scored in rounds: what confident patterns tell counts as a name when the patterns are scored again.
+    graph = cut(places.join(induced, "pattern"))
+    known = cut(graph.join(names, "instance", "left_semi").select("instance").distinct())
+    told = sure = None
+    for _ in range(ROUNDS):
+        marked = graph.join(known.withColumn("known", F.lit(True)), "instance", "left")
+        scored = cut(marked.groupBy("pattern").agg((F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)) / F.sum("n")).alias("score"), F.count("*").alias("k")))
+        sure = scored.where((F.col("score") >= 0.85) & (F.col("k") >= SUPPORT))
+        told = graph.join(names, "instance", "left_anti").join(sure.select("pattern"), "pattern").groupBy("instance").agg(F.countDistinct("pattern").alias("k")).where("k >= 2").select("instance")
+        known = cut(known.unionByName(told).distinct())
+    found.names = {r["instance"] for r in _gathered(names.unionByName(told).distinct(), MOST_NAMES, "names")}
+    found.places = {r["pattern"] for r in _gathered(sure.where(F.col("score") >= CERTAIN).select("pattern"), MOST_PATTERNS, "patterns of names")}
+
+
+def _han_names(texts: DataFrame, seen: DataFrame, found: Lexicon) -> None:
+    """Names without blanks: contexts of double surnames tell where a name stands alone up to the next mark."""
+    han = seen.where("family = 'han'").groupBy("pattern").agg(F.countDistinct("instance").alias("k")).where((F.col("k") >= SUPPORT) & (F.length("pattern") > 3))
+    contexts = sorted(r["pattern"][2:] for r in _gathered(han.select("pattern"), MOST_PATTERNS, "contexts"))
     if not contexts:
         return
-    told = spark.sparkContext.broadcast(contexts)
+    shared = texts.sparkSession.sparkContext.broadcast(contexts)
+    compiled: list[re.Pattern] = []  # pickled empty, so each task compiles its own once
 
-    def alone(text: str) -> Iterator[tuple[str, str, str, str]]:
-        expr = _alternation_of(told.value)
-        for m in expr.finditer(fold(text)):
+    def alone(text: str) -> Iterator[Edge]:
+        if not compiled:
+            compiled.append(re.compile("(" + "|".join(sorted(map(re.escape, shared.value), key=len, reverse=True)) + ")([一-鿿]{2,4})(?![一-鿿])"))
+        for m in compiled[0].finditer(fold(text)):
             yield "han", m.group(2), m.group(1), "name" if _HAN_SEED.fullmatch(m.group(2)) else ""
 
-    rows = texts.where(F.col("text").rlike("[一-鿿]")).select("text").mapInArrow(_distinct_rows(alone), _EDGE_DDL).distinct()
-    graph = cut(rows)
+    graph = cut(texts.where(F.col("text").rlike("[一-鿿]")).select("text").mapInArrow(_counted(alone), _EDGE_DDL).select("instance", "pattern", "seed").distinct())
     sure = graph.groupBy("pattern").agg(F.countDistinct("instance").alias("n"), F.countDistinct(F.when(F.col("seed") == "name", F.col("instance"))).alias("k")).where("k >= 3 AND k >= 0.15 * n")
-    full = [r["instance"] for r in graph.join(F.broadcast(sure.select("pattern")), "pattern").select("instance").distinct().orderBy("instance").limit(MOST_NAMES).collect()]
-    heads: dict[str, int] = {}
-    tails: dict[str, int] = {}
-    begins: dict[str, int] = {}
-    for name in full:
-        head = name[:2] if name[:2] in DOUBLE_SURNAMES else name[0]
-        if 1 <= len(name) - len(head) <= 2:
-            heads[head] = heads.get(head, 0) + 1
-            begins[name[len(head)]] = begins.get(name[len(head)], 0) + 1
-            for c in name[len(head) :]:
-                tails[c] = tails.get(c, 0) + 1
-    found.surnames = {h for h, n in heads.items() if n >= 2}
-    found.given = {c for c, n in tails.items() if n >= 2 and begins.get(c, 0) >= 2}  # what only ever ends a name is the next word
-
-
-_CACHE: dict[int, object] = {}
-
-
-def _automaton_of(words: list[str]) -> object:
-    import ahocorasick
-
-    key = id(words)
-    if key not in _CACHE:
-        a = ahocorasick.Automaton()
-        for w in words:
-            a.add_word(w, len(w))
-        a.make_automaton()
-        _CACHE[key] = a
-    return _CACHE[key]
-
-
-def _sets_of(pair: tuple[list[str], set[str]]) -> tuple[set[str], set[str]]:
-    key = id(pair)
-    if key not in _CACHE:
-        _CACHE[key] = (set(pair[0]), pair[1])
-    return _CACHE[key]
-
-
-def _alternation_of(contexts: list[str]) -> re.Pattern:
-    key = id(contexts)
-    if key not in _CACHE:
-        _CACHE[key] = re.compile("(" + "|".join(sorted(map(re.escape, contexts), key=len, reverse=True)) + ")([一-鿿]{2,4})(?![一-鿿])")
-    return _CACHE[key]
+    full = graph.join(sure.select("pattern"), "pattern").select("instance").distinct()
+    double = F.left("instance", F.lit(2)).isin(*DOUBLE_SURNAMES)
+    head = F.when(double, F.left("instance", F.lit(2))).otherwise(F.left("instance", F.lit(1)))
+    parts = full.select(head.alias("head"), F.substr("instance", F.char_length(head) + 1).alias("tail")).where(F.char_length("tail").between(1, 2))
+    found.surnames = {r["head"] for r in _gathered(parts.groupBy("head").count().where("count >= 2"), MOST_NAMES, "surnames")}
+    # What only ever ends a name is the next word.
+    ends = parts.select(F.posexplode(F.split("tail", "")).alias("at", "c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n"), F.count_if(F.col("at") == 0).alias("begins"))
+    found.given = {r["c"] for r in _gathered(ends.where("n >= 2 AND begins >= 2").select("c"), MOST_NAMES, "parts of names")}
 
 
 # -- extraction --------------------------------------------------------------------------------------
@@ -430,12 +413,8 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
         if kind:
             add(a, b, kind)
     if found or any(c.isdigit() for c in folded):
-        for start, stop in _near_streets(folded):
-            for m in ADDRESS.finditer(folded, start, stop):
-                add(m.start(), m.end(), "address")
-        if "号" in folded or "弄" in folded:
-            for m in ADDRESS_HAN.finditer(folded):
-                add(m.start(), m.end(), "address")
+        for a, b in sorted(_addresses(folded, lexicon), key=lambda x: (x[0] - x[1], x)):  # the longest first
+            add(a, b, "address")
     if lexicon.places:
         for m in _CAPITAL.finditer(folded):
             if before(folded, m.start()) in lexicon.places:
@@ -459,6 +438,38 @@ def _kind_of(folded: str, a: int, b: int, lexicon: Lexicon) -> str:
     return kind if 1 - miss[kind] >= CONFIDENT else ""
 
 
+#: A number and small words, of which one may be a street's last.
+_SMALL_STREET = re.compile(r"((?: [a-z][\w'’]*){2,4})")
+
+
+def _addresses(folded: str, lexicon: Lexicon) -> Iterator[tuple[int, int]]:
+    """(start, end) of the streets that their patterns tell, or a postcode."""
+
+    def told(patterns: tuple[str, ...]) -> float:
+        miss = 1.0
+        for p in patterns:
+            miss *= 1 - min(lexicon.patterns.get(p, {}).get("address", 0.0), 0.999)
+        return 1 - miss
+
+    for x in streets(folded):
+        if not x.seed and told(x.patterns) < CONFIDENT:
+            continue
+        start = x.start
+        for h in (p for p in x.patterns[:0:-1] if p.startswith("H:")):  # without the words that lead to it
+            if told((h,)) >= CONFIDENT:
+                start += len(h) - 2
+                break
+        yield start, x.end
+    for m in HOUSE.finditer(folded):
+        small = _SMALL_STREET.match(folded, m.end())
+        if small:
+            words = small.group(1).split(" ")[1:]
+            for i in range(1, len(words)):
+                if told(("E:" + words[i],)) >= 0.8:
+                    yield m.start(), m.end() + sum(len(w) + 1 for w in words[: i + 1])
+                    break
+
+
 _AFTER = re.compile(r"(?:[ ](?:[A-Z]\.[ ])?[A-Z][a-z]+(?:-[A-Z][a-z]+)*)?")
 
 

@@ -1,3 +1,5 @@
+import pytest
+
 from mnemora.llm import privacy as p
 
 
@@ -15,6 +17,7 @@ def test_forms():
     assert _kinds("I live at Flat 14, 341 Marrow Hill Court, Haven ZZ9 2ZZ.") == {"address"}
     assert _kinds("Livraison : 427 rue des Genêts, 00835 Furt") == {"address"}
     assert _kinds("我住在槐荫街267号10栋592室。") == {"address"}
+    assert _kinds("東京都渋谷区神南1丁目2番3号") == {"address"}
 
 
 def test_no_cases():
@@ -22,6 +25,47 @@ def test_no_cases():
         assert _kinds(text) == set(), text
 
 
+def test_bootstrap_finds_streets_of_unseen_kinds(spark):
+    """Streets with a postcode teach what stands before a street and what kinds there are; none of the kinds sought is among them."""
+    seeds = {
+        "I live at {n} {s} Street, Leeds LS{d} 4AB.": "Marrow Hill|Ferry|Old Tannery|Kestrel|Pepperwood|Lantern",
+        "Please deliver to {n} {s} Road, Hull HU{d} 2XY.": "Saltmarsh|Juniper|Ash|Kestrel Hollow|Lantern|Ferry",
+        "Abito in Corso {s} {n}, 1012{d} Torino.": "Garibaldi|Dante|Cavour|Mazzini|Marconi|Volta",
+        "Ich wohne in der {s}strasse {n}, 2009{d} Hamburg.": "Tuchmacher|Eschen|Linden|Mühlen|Rosen|Gerber",
+        "Я живу на улице {s}, дом {n}, 10100{d} Москва.": "Пушкина|Гоголя|Чехова|Толстого|Герцена|Некрасова",
+        "我住在{s}街{n}号{d}栋30{d}室。": "槐荫|青石|稻香|望槐|柳浦|长安",
+    }
+    rows = [(f"{k}-{i}-{d}", form.format(n=11 + 7 * i + d, s=s, d=d + 1)) for k, (form, names) in enumerate(seeds.items()) for i, s in enumerate(names.split("|")) for d in range(2)]
+    rows += [(f"n{i}", f"There are {i} Notes in the list. Ich habe {i} Tassen.") for i in range(60)]
+    unseen = {
+        "a": "I live at 14 Kingfisher Gardens, Leeds",
+        "b": "Please deliver to 221B Baker Mews. Thanks",
+        "c": "Abito in Via Roma 12, Torino",
+        "d": "Ich wohne in der Lange Reihe 14",
+        "e": "Я живу на улице Ленина, дом 5",
+        "f": "住所は東京都渋谷区神南1丁目2番3号です",
+        "g": "it stands at 9 kestrel road, unlit",
+    }
+    got = {r["message_id"]: r for r in p.masked(spark.createDataFrame(rows + list(unseen.items()), "id string, content string")).collect()}
+    assert {k for k in unseen if k in got and got[k]["kinds"] == ["address"]} == set(unseen)
+    assert got["a"]["text"] == "I live at [ADDRESS]" and got["b"]["text"].startswith("Please deliver to [ADDRESS]")
+    assert not any(k.startswith("n") for k in got)
+
+
+def test_names_in_other_alphabets(spark):
+    rows = [x for i, n in enumerate(["Иван", "Ольга", "Пётр", "Анна"] * 20) for x in ((f"e{i}", f"Ответ: {n} Орлов <a{i}@mail.example.test>"), (f"t{i}", f"Добрый день, меня зовут {n}. Пишу снова."))]
+    rows += [("new", "Добрый день, меня зовут Глеб. Пишу снова."), ("none", "Добрый день, Москва")]
+    got = {r["message_id"]: r["text"] for r in p.masked(spark.createDataFrame(rows, "id string, content string")).collect()}
+    assert got["new"] == "Добрый день, меня зовут [NAME]. Пишу снова." and got["t0"].startswith("Добрый день, меня зовут [NAME]") and "none" not in got
+
+
+def test_more_than_can_be_broadcast_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(p, "MOST_NAMES", 1)
+    rows = [(f"e{i}{n}", f"{n.title()} wrote to {n}@mail.example.test") for i in range(3) for n in ("imogen", "petra", "dorian")]
+    with pytest.raises(ValueError, match="names"):
+        p.masked(spark.createDataFrame(rows, "id string, content string"))
+
+
 def test_bootstrap_finds_names_and_bare_numbers(spark):
     names = ["Imogen", "Petra", "Dorian", "Sadie", "Felix", "Owen", "Tessa", "Maren"]
     rows = []

@@ -433,7 +433,8 @@ def _kind_of(folded: str, a: int, b: int, lexicon: Lexicon) -> str:
     miss = dict.fromkeys(("phone", "id_number"), 1.0)
     for pattern in (shape(number), before(folded, a)):
         for kind, s in lexicon.patterns.get(pattern, {}).items():
-            miss[kind] *= 1 - min(s, 0.999)
+            if kind in miss:  # the same words may stand before a street
+                miss[kind] *= 1 - min(s, 0.999)
     kind = min(miss, key=lambda k: (miss[k], k))
     return kind if 1 - miss[kind] >= CONFIDENT else ""
 

@@ -29,6 +29,8 @@ from mnemora.session import cut
 
 #: Rounds of scoring, least score of a pattern or instance, least distinct instances of a pattern.
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.6, 3
+#: Share of an instance's occurrences that must tell it for a seed.
+SEEDED = 0.05
 #: Score from which a pattern alone tells a name.
 CERTAIN = 0.95
 #: Bounds of what is broadcast (some 200 bytes each in a worker); more is refused before it is gathered.
@@ -88,16 +90,21 @@ _STREET_BEFORE = re.compile(rf"(?<![\w'’])((?:[CRcr]/|{_CAP}\.?)(?: {_LINK}?{_
 _LINKS = re.compile(rf"(?<!\w){_LINK}+$")
 _HEAD = re.compile(r"(?<!\w)[^\W\d_]{3,5}\.? \d{1,4}[a-zA-Z]?, ?$")
 _GOES_ON = re.compile(rf",? ?(?!{_POSTCODE})\d{{1,5}}[a-zA-Z]? {_CAP}")
-_TAIL = re.compile(rf"\.?(?:,? ?-? ?[^\W\d_]{{3,5}}\.? \d{{1,4}}(?:[ºª]|\b))?(?:(?:,\s?|,?\n){_POSTCODE}(?: ?{_CAP})?|(?:,\s?|\.?\n){_CAP}(?:,? {_POSTCODE})?|,? {_POSTCODE})?")
-_HAN_HOUSE = re.compile(r"([一-鿿]{2,14})(\d{1,5})(?:号|號|弄|番地|番|丁目)(?:\d{1,4}(?:号|番|栋|室|楼|层|单元|の))*(?:\d{1,4}(?:号|室)?)?")
+_TAIL = re.compile(
+    rf"(?:(?:,? |, ?| ?- ?)[^\W\d_]{{3,5}}\.? \d{{1,4}}(?:[ºª]|\b)(?![.\-]?\d))?(?:(?:,\s?|[,.]?\n){_POSTCODE}(?: ?{_CAP})?|(?:,\s?|\.?\n){_CAP}(?:,? {_POSTCODE})?|,? {_POSTCODE})?"
+)
+_SIGN = re.compile(r"[ºo°№мд]\.?$")
+_HAN_HOUSE = re.compile(r"((?:[A-Za-z]{2,12}(?=[市区县]))?[一-鿿]{2,14})(\d{1,5})(?:号|號|弄|番地|番|丁目)(?:\d{1,4}(?:号|番|栋|室|楼|层|单元|の))*(?:\d{1,4}(?:号|室)?)?")
+_CODED = re.compile(_POSTCODE)
 _HAN_UNIT = re.compile(r"(?:栋|室|单元|弄|丁目|番地)|[市区县區縣都府]")
 
 
 @dataclass(frozen=True)
 class Street:
-    """A place where an address may stand: its range, the range of the street's words, what it is called, its patterns, and whether a postcode tells it."""
+    """A place where an address may stand: its range, where a street after its number begins (else -1), what it is called, its patterns, and whether a postcode tells it."""
 
     start: int
+    words_at: int
     end: int
     name: str
     patterns: tuple[str, ...]
@@ -115,11 +122,13 @@ def streets(folded: str) -> Iterator[Street]:
             head = _HEAD.search(folded, max(0, a - 14), a)
             start = head.start() if head else a
             marks = ("E:" + words[-1], "F:" + words[0], before(folded, start))
-            yield Street(start, tail.end(), " ".join(words), marks, bool(re.search(_POSTCODE, tail.group())))
-        window = folded[max(0, a - 48) : a]
-        ahead = _STREET_BEFORE.search(window.split("\n")[-1])
+            yield Street(start, after.start(1), tail.end(), " ".join(words), marks, bool(_CODED.search(tail.group())))
+        window = folded[max(0, a - 48) : a].rsplit("\n", 1)[-1]
+        near = window.rstrip(" ,")
+        last = near.rsplit(" ", 1)[-1]
+        ahead = _STREET_BEFORE.search(window) if last[:1].isupper() or last[:2].lower() == "c/" or _SIGN.search(near) else None
         if ahead and not _GOES_ON.match(folded, b):
-            start = a - len(window.split("\n")[-1]) + ahead.start()
+            start = a - len(window) + ahead.start()
             words = ahead.group(1).lower().split(" ")
             tail = _TAIL.match(folded, b)
             marks = ["F:" + words[0], before(folded, start)]
@@ -131,10 +140,11 @@ def streets(folded: str) -> Iterator[Street]:
             if len(words[-1]) >= 7:
                 marks += ["X:" + words[-1][-3:], "X:" + words[-1][-5:]]
             marked = words[0] == "c/" or len(words) > 1 and ahead.group(2).strip(" ,") != ""  # a sign for a street, or for its number
-            yield Street(start, tail.end(), " ".join(words), tuple(marks), marked or bool(re.search(_POSTCODE, tail.group())))
+            yield Street(start, -1, tail.end(), " ".join(words), tuple(marks), marked or bool(_CODED.search(tail.group())))
     for m in _HAN_HOUSE.finditer(folded):
         run = m.group(1)
-        yield Street(m.start(), m.end(), run[-3:], ("Z:" + run[-1], "H:" + run[:2], "H:" + run[:3]), bool(_HAN_UNIT.search(m.group())))
+        led = () if run[0].isascii() else ("H:" + run[:2], "H:" + run[:3])
+        yield Street(m.start(), -1, m.end(), run[-3:], ("Z:" + run[-1], *led), bool(_HAN_UNIT.search(m.group())))
 
 
 #: Chinese double surnames, the seeds of names written without blanks (fixed values).
@@ -171,12 +181,14 @@ class Lexicon:
     places: set[str] = field(default_factory=set)  # patterns that only names follow
     surnames: set[str] = field(default_factory=set)
     given: set[str] = field(default_factory=set)
+    _last: set[str] = field(default_factory=set)  # the last words of places
     _han: re.Pattern | None = None
     _automaton: object = None
 
     def ready(self) -> Lexicon:
         import ahocorasick
 
+        self._last = {x.removeprefix("L:").split(" ")[-1] for x in self.places}
         if self.surnames and self.given:
             some = "".join(sorted(self.given))
             self._han = re.compile("(?:" + "|".join(sorted(map(re.escape, self.surnames), key=len, reverse=True)) + f")[{re.escape(some)}]{{1,2}}")
@@ -273,7 +285,7 @@ def _observe(text: str) -> Iterator[Edge]:
                 yield "number", number, shape(number), seed
                 yield "number", number, before(folded, a), seed
         for x in streets(folded):
-            for pattern in set(x.patterns):
+            for pattern in {y for y in x.patterns if y[-1] not in ".!?\n:" or y[0] != "L"}:  # where a line or sentence begins any number may stand
                 yield "street", x.name, pattern, "address" if x.seed else ""
     for a, b, _ in reversed(taken):  # names within addresses don't count
         folded = folded[:a] + "\x00" * (b - a) + folded[b:]
@@ -293,10 +305,13 @@ def _observe(text: str) -> Iterator[Edge]:
 def score(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Scores of patterns by kind: family, pattern, kind, score, n (distinct instances).
 
-    edges: family, instance, pattern, seed (empty where unknown). A pattern scores the mean of its instances;
+    edges: family, instance, pattern, seed (empty where unknown), n. An instance is a seed where SEEDED of its
+    occurrences tell it, so that one that is told by accident is none. A pattern scores the mean of its instances;
     an instance that is no seed scores as likely as any of its patterns makes it. Seeds stay at 1.
     """
-    e = cut(edges.groupBy("family", "instance", "pattern").agg(F.max("seed").alias("seed")))
+    own = F.sum(F.when(F.col("seed") != "", F.col("n")).otherwise(0)) >= SEEDED * F.sum("n")
+    told = edges.groupBy("family", "instance").agg(F.when(own, F.max("seed")).otherwise("").alias("seed"))
+    e = cut(edges.select("family", "instance", "pattern").distinct().join(told, ["family", "instance"]))
     sizes = e.groupBy("family", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
     links = e.join(sizes, ["family", "pattern"])
     known = links.where("seed <> ''").select("family", "instance", F.col("seed").alias("kind"), F.lit(1.0).alias("s")).distinct()
@@ -417,7 +432,8 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
             add(a, b, "address")
     if lexicon.places:
         for m in _CAPITAL.finditer(folded):
-            if before(folded, m.start()) in lexicon.places:
+            a = m.start()
+            if (folded[a - 1 : a] != " " or folded[folded.rfind(" ", max(0, a - 28), a - 1) + 1 : a - 1].lower() in lexicon._last or not folded[a - 2 : a - 1].isalpha()) and before(folded, a) in lexicon.places:
                 add(*_whole_name(folded, *m.span()), "name")
     if lexicon._automaton is not None:
         for a, b in _words_in(folded, lexicon._automaton):
@@ -460,7 +476,15 @@ def _addresses(folded: str, lexicon: Lexicon) -> Iterator[tuple[int, int]]:
             if told((h,)) >= CONFIDENT:
                 start += len(h) - 2
                 break
-        yield start, x.end
+        end = x.end
+        if x.words_at >= 0:
+            words = x.name.split(" ")
+            last = next((i for i in range(1, len(words)) if told(("E:" + words[i],)) >= 0.8), len(words) - 1)
+            core = x.words_at + len(" ".join(words[: last + 1]))
+            if last < len(words) - 1:  # the words run on into the next sentence
+                end = _TAIL.match(folded, core).end()
+            yield start, core  # where what follows is something else
+        yield start, end
     for m in HOUSE.finditer(folded):
         small = _SMALL_STREET.match(folded, m.end())
         if small:
@@ -499,10 +523,10 @@ def masked(messages: DataFrame) -> DataFrame:
     give one row; everything outside the items stays as it is.
     """
     texts = messages.where("id IS NOT NULL AND content IS NOT NULL").select(F.col("id").alias("message_id"), F.col("content").alias("text"))
-    shared = messages.sparkSession.sparkContext.broadcast(learn(texts.select("text")).__dict__ | {"_han": None, "_automaton": None})
+    shared = messages.sparkSession.sparkContext.broadcast({k: v for k, v in learn(texts.select("text")).__dict__.items() if not k.startswith("_")})
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(**{k: v for k, v in shared.value.items() if not k.startswith("_")}).ready()
+        lexicon = Lexicon(**shared.value).ready()
         for rb in batches:
             rows = []
             for key, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):

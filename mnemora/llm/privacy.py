@@ -53,11 +53,12 @@ def _fold_table() -> dict[int, str]:
 
 
 _FOLD = _fold_table()
+_BY_CHAR = {chr(c): x for c, x in _FOLD.items()}
 _FOLDED = re.compile("[" + re.escape("".join(map(chr, _FOLD))) + "]")
 
 
 def fold(text: str) -> str:
-    return text if text.isascii() or not _FOLDED.search(text) else text.translate(_FOLD)
+    return text if text.isascii() else _FOLDED.sub(lambda m: _BY_CHAR[m.group()], text)
 
 
 # -- forms (fixed values) ----------------------------------------------------------------------------
@@ -65,6 +66,7 @@ def fold(text: str) -> str:
 _AT = r"(?:@|\s?[\[(]\s?at\s?[\])]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)"
 EMAIL = re.compile(rf"(?i)(?<![a-z0-9])([a-z0-9](?:[a-z0-9_+\-]|\.(?=[a-z0-9]))*){_AT}[a-z0-9][a-z0-9\-]*(?:{_DOT}[a-z0-9\-]*[a-z0-9])*{_DOT}[a-z]{{2,}}(?![a-z0-9])")
+_MAY_HOLD = re.compile(r"@|(?i:[\[(] ?at| dot )")
 #: A plain " at " is an address only with a spelled-out dot.
 _WORDED = re.compile(r"(?i)\sat\s")
 _SPELLED = re.compile(r"(?i)\sdot\s|[\[(]\s?dot\s?[\])]")
@@ -72,6 +74,7 @@ NUMBER = re.compile(r"(?<![A-Za-z0-9_.,=/#@+\-])(?:\(?\+\s?)?\(?\d(?:[ .\-/()]{0
 CODE = re.compile(r"(?<![A-Za-z0-9_\-])(?:[A-Z]{1,2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{1,2}\d{6,9}|[A-Z]\d[A-Z0-9]{7}\d|\d{8} ?-?[A-Z]|[XYZ]-?\d{7}-?[A-Z])(?![A-Za-z0-9_\-])")
 #: What every number above holds: six digits or capitals, little apart.
 _DIGITS = re.compile(r"\d(?:[ .\-/()]{0,2}[\dA-Z]){5}")
+_DIGIT = re.compile(r"\d")
 PHONE_SEED = re.compile(r"^(?:\(?\+\)?\(?\s?\d[\d ().\-/]{8,}|\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}|07\d{3} ?\d{6}|1[3-9]\d-?\d{4}-?\d{4}|0[1-9](?:[ .]\d\d){4}|00\d\d[ \-][\d \-]{8,})$")
 ID_SEED = re.compile(
     r"^(?:\d{3}-\d{2}-\d{4}|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{6} ?(?:19|20)\d{6} ?\d{3}[\dxX]|[12] \d\d \d\d \d\d \d{3} \d{3} \d\d|[12]\d{14}|\d\d \d{3} \d{3} \d{3}"
@@ -82,7 +85,7 @@ _POSTCODE = r"(?:[A-Z]{1,2}\d{1,2}[A-Z]? ?\d[A-Z]{2}\b|[A-Z]{2} \d{5}\b|\d{5,6}(
 _LINK = r"(?:(?:de la|de las|de los|de|del|la|le|les|las|los|da|do|das|dos|du|des|der|den|dem|zum|zur|of|the|van|von|di|della|delle|dei|y|e|и) |[dl]['’] ?)"
 _CAP = r"[A-ZΑ-ΩА-ЯЁ][\w'’\-]*"
 #: A house number that stands for itself.
-HOUSE = re.compile(r"(?<![\w.,/:+#@=\-])\d{1,5}[a-zA-Z]?(?: (?:bis|ter))?(?![\w:/%@=])(?!\.\d)")
+HOUSE = re.compile(r"\d(?<![\w.,/:+#@=\-]\d)\d{0,4}[a-zA-Z]?(?: (?:bis|ter))?(?![\w:/%@=])(?!\.\d)")
 #: The street after a number: words with a capital, the first may be small.
 _STREET_AFTER = re.compile(rf",? ((?:{_CAP}|[^\W\d_]{{2,}})(?: {_LINK}?{_CAP}){{1,4}})")
 #: The street before a number, and what may stand between them.
@@ -95,6 +98,7 @@ _TAIL = re.compile(
 )
 _SIGN = re.compile(r"[ºo°№мд]\.?$")
 _HAN_HOUSE = re.compile(r"((?:[A-Za-z]{2,12}(?=[市区县]))?[一-鿿]{2,14})(\d{1,5})(?:号|號|弄|番地|番|丁目)(?:\d{1,4}(?:号|番|栋|室|楼|层|单元|の))*(?:\d{1,4}(?:号|室)?)?")
+_HAN_NUMBER = re.compile(r"[一-鿿]\d{1,5}(?:号|號|弄|番|丁目)")
 _CODED = re.compile(_POSTCODE)
 _HAN_UNIT = re.compile(r"(?:栋|室|单元|弄|丁目|番地)|[市区县區縣都府]")
 
@@ -141,7 +145,7 @@ def streets(folded: str) -> Iterator[Street]:
                 marks += ["X:" + words[-1][-3:], "X:" + words[-1][-5:]]
             marked = words[0] == "c/" or len(words) > 1 and ahead.group(2).strip(" ,") != ""  # a sign for a street, or for its number
             yield Street(start, -1, tail.end(), " ".join(words), tuple(marks), marked or bool(_CODED.search(tail.group())))
-    for m in _HAN_HOUSE.finditer(folded):
+    for m in _HAN_HOUSE.finditer(folded) if _HAN_NUMBER.search(folded) else ():
         run = m.group(1)
         led = () if run[0].isascii() else ("H:" + run[:2], "H:" + run[:3])
         yield Street(m.start(), -1, m.end(), run[-3:], ("Z:" + run[-1], *led), bool(_HAN_UNIT.search(m.group())))
@@ -155,9 +159,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _BEFORE = re.compile(r"[^\W\d_]+|[:(#,.!?\n]")
 _LOCAL = re.compile(r"[a-z]{3,}")
 #: Words with a capital, in alphabets that have capitals.
-_CAPITAL = re.compile(r"(?<![^\W\d_])[A-ZΑ-ΩА-ЯЁ][a-zα-ωа-яё]{2,}(?![^\W\d_])")
-_UPPER = re.compile(r"(?<![^\W\d_])[A-ZΑ-ΩА-ЯЁ]{3,}(?![^\W\d_])")
-_LOWER = re.compile(r"(?<![^\W\d_])[a-zα-ωа-яё]{3,}(?![^\W\d_])")
+_CAPITAL = re.compile(r"[A-ZΑ-ΩА-ЯЁ](?<![^\W\d_].)[a-zα-ωа-яё]{2,}(?![^\W\d_])")
+_UPPER = re.compile(r"[A-ZΑ-ΩА-ЯЁ](?<![^\W\d_].)[A-ZΑ-ΩА-ЯЁ]{2,}(?![^\W\d_])")
+_LOWER = re.compile(r"[a-zα-ωа-яё](?<![^\W\d_].)[a-zα-ωа-яё]{2,}(?![^\W\d_])")
 #: Names before an e-mail address in brackets.
 _SENDER = re.compile(rf"({_CAP}(?: {_CAP}){{0,2}}) ?[<(]$")
 
@@ -202,8 +206,7 @@ class Lexicon:
 
 def emails(folded: str) -> list[tuple[int, int, str]]:
     """(start, end, local part) of e-mail addresses, also spelled out."""
-    low = folded.lower()
-    if not any(x in low for x in ("@", " dot ", "[at", "(at", "[ at", "( at")):
+    if not _MAY_HOLD.search(folded):
         return []
     out = []
     for m in EMAIL.finditer(folded):
@@ -278,14 +281,14 @@ def _observe(text: str) -> Iterator[Edge]:
         sender = _SENDER.search(folded, max(0, a - 60), a)
         for w in _CAPITAL.findall(sender.group(1)) if sender else ():
             yield "name", w.lower(), "before an address", "name"
-    if any(c.isdigit() for c in folded):
+    if _DIGIT.search(folded):
         for a, b, seed in numbers(folded):
             if not any(x < b and a < y for x, y, _ in taken):
                 number = folded[a:b]
                 yield "number", number, shape(number), seed
                 yield "number", number, before(folded, a), seed
         for x in streets(folded):
-            for pattern in {y for y in x.patterns if y[-1] not in ".!?\n:" or y[0] != "L"}:  # where a line or sentence begins any number may stand
+            for pattern in {y for y in x.patterns if y[-1] not in ".!?\n" or y[0] != "L"}:  # where a line or sentence begins any number may stand
                 yield "street", x.name, pattern, "address" if x.seed else ""
     for a, b, _ in reversed(taken):  # names within addresses don't count
         folded = folded[:a] + "\x00" * (b - a) + folded[b:]
@@ -422,12 +425,12 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
         if not any(x < b and a < y for x, y, _ in spans):
             spans.append((a, b, kind))
 
-    found = numbers(folded) if any(c.isdigit() for c in folded) else []
+    found = numbers(folded) if _DIGIT.search(folded) else []
     for a, b, seed in found:
         kind = seed or _kind_of(folded, a, b, lexicon)
         if kind:
             add(a, b, kind)
-    if found or any(c.isdigit() for c in folded):
+    if found or _DIGIT.search(folded):
         for a, b in sorted(_addresses(folded, lexicon), key=lambda x: (x[0] - x[1], x)):  # the longest first
             add(a, b, "address")
     if lexicon.places:

@@ -94,15 +94,21 @@ WHERE l.table_name = 'memories' AND l.field_name = 'content' AND strlen(content)
 @query
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the test items that they give away."""
-    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 @query
 def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest leaked span of each document and test item."""
+    """Every leaked span with its test item."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+@query
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affected documents without the leaked spans."""
+    return leakage.without_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 ORACLES["p8_found"] = r"""
 WITH e AS (SELECT item_id, regexp_replace(lower(t), '[^\p{L}\p{N}]', '', 'g') AS t
            FROM (SELECT item_id, unnest([question, answer, evidence]) AS t FROM eval_items)),

@@ -38,8 +38,8 @@ _SUMMARY_DDL = "conversation string, at long, rows long, turns long, first byte,
 def keyed_messages(messages: DataFrame, role_aliases: DataFrame) -> DataFrame:
     """Messages as the automaton's input: conversation, ts, id, symbol, filled (content is not blank).
 
-    Null or blank thread ids belong to no conversation and are left out. An id may be null: it is then
-    told apart by the other columns only. Extra columns are ignored.
+    Null or blank thread ids belong to no conversation and are left out. An id may be null: a message is then
+    told apart by its other columns, and its id here is "\\x00" and their hash. Extra columns are ignored.
     """
     known = F.broadcast(  # the alias table is fixed and small
         role_aliases.select(F.col("alias").alias("_alias"), F.col("role").alias("_role")).dropna().dropDuplicates(["_alias"])
@@ -49,7 +49,7 @@ def keyed_messages(messages: DataFrame, role_aliases: DataFrame) -> DataFrame:
         messages.select(
             plain_thread(F.col("thread_id")).alias("conversation"),
             F.unix_micros(F.coalesce("sent_at", "created_at")).alias("ts"),
-            F.col("id").cast("string").alias("id"),
+            F.coalesce(F.col("id").cast("string"), F.concat(F.lit("\x00"), F.hex(F.xxhash64("role", "content")))).alias("id"),
             F.col("role").alias("_raw"),
             not_blank(F.col("content")).alias("filled"),
             F.col("content"),
@@ -203,7 +203,7 @@ def ordered_messages(sessions: DataFrame, messages: DataFrame, role_aliases: Dat
         .select(
             F.col("conversation").alias("thread_id"),
             (F.col("before") + F.col("n")).alias("turn_no"),
-            F.col("id").alias("message_id"),
+            F.when(~F.col("id").startswith("\x00"), F.col("id")).alias("message_id"),
             speaker.alias("speaker"),
             F.timestamp_micros("ts").alias("sent_at"),
             "content",

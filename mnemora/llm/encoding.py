@@ -29,6 +29,8 @@ SAMPLE_DOCUMENTS, SAMPLE_LINES, DOCUMENT_LINES, SAMPLE_CHARS = 400, 600, 40, 300
 FEATURES = 1 << 13
 #: Least gain of a repair, in nats: for each bigram, and over the whole text.
 GAIN, TOTAL_GAIN = 0.5, 8.0
+#: Odds in nats, for each bigram and in all, from which a line that no chain inverts counts as garbled and lost.
+CERTAIN = (1.5, 40.0)
 
 _SINGLE = ("latin-1", "cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "iso8859-15", "iso8859-2")
 _MULTI = ("gbk", "big5", "cp932", "euc_jp", "euc_kr")
@@ -144,6 +146,12 @@ class Model:
         """Where a chain is likelier than clean text."""
         return scores[:, self.n_clean :].max(axis=1) > scores[:, : self.n_clean].max(axis=1)
 
+    def certain(self, line: str, scores: np.ndarray) -> bool:
+        """Whether the line is garbled beyond doubt, even if no chain can be inverted: by CERTAIN nats for each bigram, and in all."""
+        n = len(_features(_bytes([line]))[0])
+        odds = float(scores[self.n_clean :].max() - scores[: self.n_clean].max())
+        return odds > CERTAIN[1] and odds > CERTAIN[0] * n
+
     def score_lines(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the lines with non-ASCII bytes, and their scores by class."""
         at, f = _features(data)
@@ -252,7 +260,8 @@ def training_lines(documents: DataFrame) -> list[tuple[str, str]]:
         .where(F.col("n") <= SAMPLE_DOCUMENTS)
         .select("doc_id", "lang")
     )
-    picked = rows.join(documents.where("text IS NOT NULL").select("doc_id", "text"), "doc_id").select(
+    # At most SAMPLE_DOCUMENTS ids a label are broadcast, so no other document's text is shuffled.
+    picked = documents.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(rows), "doc_id").select(
         "lang", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x00-\x7f]")).alias("x")
     )
     found: dict[str, list[str]] = {}
@@ -265,8 +274,8 @@ def training_lines(documents: DataFrame) -> list[tuple[str, str]]:
 def garbled(documents: DataFrame) -> DataFrame:
     """Affected documents: doc_id, chains, n_lines, n_lost, text.
 
-    chains are those found in the document, n_lines the affected lines, n_lost those with replacement
-    characters that can't be regained; text has every other affected line restored. Null and ASCII-only
+    chains are those found in the document, n_lines the affected lines, n_lost those that can't be wholly
+    regained: with replacement characters, or garbled beyond doubt while no chain inverts them; text has all that can be restored. Null and ASCII-only
     texts are never affected; equal rows give equal results once; further columns are ignored; without a
     document to learn from there is no result.
     """
@@ -305,14 +314,23 @@ def _affected(texts: list[str], model: Model) -> Iterator[tuple[int, tuple[list[
         own, chains, n_lines, n_lost = list(split[k]), [], 0, 0
         for n in numbers:
             i = n - int(first[k])
-            fixed = None if n in lost else repaired(own[i], model, todo[n])
-            if n in lost:
+            if n in lost:  # what stands between the replacement characters may still be regained
+                pieces = own[i].split("\ufffd")
+                for j, piece in enumerate(pieces):
+                    at, odds = model.score_lines(_bytes([piece]))
+                    fixed = repaired(piece, model, odds[0]) if len(at) else None
+                    if fixed:
+                        pieces[j] = fixed[0]
+                        chains.append(fixed[1])
+                own[i] = "\ufffd".join(pieces)
                 n_lost += 1
-            elif fixed is None:
-                continue
-            else:
+            elif fixed := repaired(own[i], model, todo[n]):
                 own[i] = fixed[0]
                 chains.append(fixed[1])
+            elif model.certain(own[i], todo[n]):
+                n_lost += 1
+            else:
+                continue
             n_lines += 1
         if n_lines:
             yield k, (sorted(set(chains)), n_lines, n_lost, "\n".join(own))

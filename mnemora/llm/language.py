@@ -160,9 +160,14 @@ def fit(sentences: list[tuple[str, str]]) -> Model:
     Sentences are also learned without their accents.
     """
     languages = sorted({lang for lang, _ in sentences})
-    rows = [(lang, x) for lang, x in dict.fromkeys(sentences)]
-    rows += [(lang, y) for lang, x in rows if (y := _plain(x)) != x]
-    order = np.random.default_rng(3).permutation(len(rows))
+    rows = list(dict.fromkeys(sentences))
+    drawn = np.random.default_rng(3).permutation(len(rows))
+    apart = {int(i) for i in drawn[::6]}  # held out before the plain forms are added, so that these follow their sentence
+    every = [(*row, i in apart) for i, row in enumerate(rows)]
+    every += [(lang, y, out) for lang, x, out in every if (y := _plain(x)) != x]
+    order = np.random.default_rng(3).permutation(len(every))
+    held = np.array([every[i][2] for i in order])
+    rows = [row[:2] for row in every]
     texts = [rows[i][1] for i in order]
     label = np.array([languages.index(rows[i][0]) for i in order])
     cut = cut_sentences([x.replace("\n", " ") for x in texts])
@@ -176,7 +181,6 @@ def fit(sentences: list[tuple[str, str]]) -> Model:
     seen = np.unique(owner * FEATURES + f) % FEATURES
     idf = np.log((1 + n) / (1 + np.bincount(seen, minlength=FEATURES))) + 1
     norm = np.sqrt(np.add.reduceat(idf[f] ** 2, first[:-1]))
-    held = np.arange(n) % 6 == 0
     z, g2 = np.zeros((FEATURES, len(languages))), np.zeros((FEATURES, len(languages)))
     bias = np.zeros(len(languages))
 
@@ -227,7 +231,8 @@ def training_sentences(documents: DataFrame) -> list[tuple[str, str]]:
         .where(F.col("n") <= SAMPLE_DOCUMENTS)
         .select("doc_id")
     )
-    rows = documents.join(picked, "doc_id").select("lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).sort("lang", F.xxhash64("text"))
+    # At most SAMPLE_DOCUMENTS ids a language are broadcast, so no other document's text is shuffled.
+    rows = documents.join(F.broadcast(picked), "doc_id").select("lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).sort("lang", F.xxhash64("text"))
     found: dict[str, dict[str, None]] = {}
     for row in rows.toLocalIterator():
         own = found.setdefault(row["lang"], {})
@@ -250,10 +255,15 @@ _OUT = pa.schema(
 _OUT_DDL = "table_name string, record_id string, label string, langs array<string>, segments array<struct<start_at: long, end_at: long, lang: string, confidence: double>>"
 
 
-def assign(texts: list[str], model: Model) -> Iterator[tuple[int, list[tuple[int, int, str, float]]]]:
-    """(record number, its whole sentences as (start, end, language, confidence)) of each record with language."""
+def assign(texts: list[str], model: Model) -> Iterator[tuple[int, bool, list[tuple[int, int, str, float]]]]:
+    """(record number, whether it holds whole sentences, pieces as (start, end, language, confidence)) of each record with letters.
+
+    The pieces are the whole sentences; of a record without one they are whatever holds letters, at half the confidence.
+    """
     cut = cut_sentences([x if len(low := x.lower()) != len(x) else low for x in texts])
-    which = np.flatnonzero(cut.whole)
+    has = np.zeros(len(texts) + 1, dtype=bool)
+    has[cut.record[cut.whole]] = True
+    which = np.flatnonzero(cut.whole | ((cut.letters > 0) & ~has[np.minimum(cut.record, len(texts))]))
     if not len(which):
         return
     log = model.log_odds(cut, which)
@@ -265,11 +275,11 @@ def assign(texts: list[str], model: Model) -> Iterator[tuple[int, list[tuple[int
     rows = np.arange(len(which))
     best = log.argmax(axis=1)
     lang = np.where(log[rows, best] - log[rows, main] > CLEAR, best, main)
-    confidence = np.exp(log[rows, lang])
+    confidence = np.exp(log[rows, lang]) * np.where(has[record], 1.0, 0.5)
     base = np.append(0, np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1))
     for a, b in zip(edge, np.append(edge[1:], len(which)), strict=True):
         r = int(record[a])
-        yield r, [
+        yield r, bool(has[r]), [
             (int(cut.start[which[i]] - base[r]), int(cut.end[which[i]] - base[r]), model.languages[lang[i]], round(float(confidence[i]), 6)) for i in range(a, b)
         ]
 
@@ -278,8 +288,8 @@ def detect(records: DataFrame, documents: DataFrame) -> DataFrame:
     """Languages of every record: table_name, record_id, label, langs (with at least one whole sentence), segments.
 
     records: table_name, record_id, content, label (further columns are ignored); documents: doc_id, text,
-    lang, to learn from. segments are neighbouring sentences of one language with their lowest confidence.
-    Null, empty and language-free texts have empty arrays; equal rows give equal results. Without labelled
+    lang, to learn from. segments are neighbouring sentences of one language with their lowest confidence; a text
+    without a whole sentence has segments at half the model's confidence, but no langs. Null, empty and language-free texts have empty arrays; equal rows give equal results. Without labelled
     documents to learn from every record counts as language-free.
     """
     spark = records.sparkSession
@@ -292,8 +302,8 @@ def detect(records: DataFrame, documents: DataFrame) -> DataFrame:
             langs: list[list[str]] = [[] for _ in texts]
             segments: list[list[dict[str, object]]] = [[] for _ in texts]
             for a, b in chunks(map(len, texts), 1 << 19) if shared.value else ():
-                for k, found in assign(texts[a:b], shared.value):
-                    langs[a + k] = sorted({x[2] for x in found})
+                for k, whole, found in assign(texts[a:b], shared.value):
+                    langs[a + k] = sorted({x[2] for x in found}) if whole else []
                     merged: list[dict[str, object]] = []
                     for start, end, lang, sure in found:
                         if merged and merged[-1]["lang"] == lang:

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +70,8 @@ class Probe:
         at = np.array(
             [p for a, b in zip(self.start[:-1], self.start[1:], strict=True) if b - a >= run for p in range(a, b - self.block + 1)], dtype=np.int64
         )
-        hashes = self._hash(np.lib.stride_tricks.sliding_window_view(self.chars, self.block)[at]) if len(at) else np.zeros(0, dtype=np.uint64)
+        windows = np.lib.stride_tricks.sliding_window_view(self.chars, self.block) if len(at) else None
+        hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *(self._hash(windows[at[a : a + 100_000]]) for a in range(0, len(at), 100_000))])  # a bounded number at once
         order = np.argsort(hashes, kind="stable")
         self.at, self.hashes = at[order], hashes[order]
         self.filter = np.zeros(1 << 20, dtype=bool)
@@ -78,9 +80,9 @@ class Probe:
     def _hash(self, windows: np.ndarray) -> np.ndarray:
         return mix64((windows.astype(np.uint64) * self.power).sum(axis=1, dtype=np.uint64))
 
-    def scan(self, texts: list[str]) -> dict[tuple[int, int], tuple[int, int]]:
-        """(text number, item number) of every shared run of at least `run` characters, with the longest one's range in the joined texts."""
-        out: dict[tuple[int, int], tuple[int, int]] = {}
+    def scan(self, texts: list[str]) -> set[tuple[int, int, int, int]]:
+        """(text number, item number, start, end) of every longest shared run of at least `run` characters, its range in the joined texts."""
+        out: set[tuple[int, int, int, int]] = set()
         if not len(self.at):
             return out
         chars, start, places = normalise(texts)
@@ -108,10 +110,7 @@ class Probe:
                 right = self._same(chars, p, q, start[text + 1] - 1, self.start[item + 1] - 1, 1)
                 done[text, item, shift] = p + right
                 if left + right >= self.run:
-                    old = out.get((text, item))
-                    new = (int(places[p - left]), int(places[p + right - 1]) + 1)
-                    if old is None or new[1] - new[0] > old[1] - old[0]:
-                        out[text, item] = new
+                    out.add((text, item, int(places[p - left]), int(places[p + right - 1]) + 1))
         return out
 
     def _same(self, chars: np.ndarray, p: int, q: int, p_end: int, q_end: int, step: int) -> int:
@@ -125,38 +124,69 @@ class Probe:
 
 
 def leaks(documents: DataFrame, eval_items: DataFrame, run: int = RUN) -> DataFrame:
-    """Every document with the test items it gives away: doc_id, item_id, start_at, end_at.
+    """Every leaked span: doc_id, item_id, start_at, end_at.
 
-    The range is that of the longest shared run in the text (code points), so that it can be removed.
+    A row for each run that a document shares with an item and that can't be longer, its range in code points.
     Null and empty texts, and test texts shorter than `run`, match nothing. Rows with the same doc_id and
     text give the same row once; further columns are ignored. The question, the answer and the evidence
     are matched each for itself.
     """
-    spark = documents.sparkSession
+    shared = _probe(documents, eval_items, run)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in _texts(batches):
+            base = offsets(texts)
+            rows = sorted({(keys[t], int(shared.value.ids[i]), x - int(base[t]), y - int(base[t])) for t, i, x, y in shared.value.scan(texts)})
+            if rows:
+                yield batch(_FOUND, **dict(zip(_FOUND.names, zip(*rows, strict=True), strict=True)))
+
+    return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(scan, _FOUND_DDL).distinct()
+
+
+def _probe(documents: DataFrame, eval_items: DataFrame, run: int) -> Broadcast[Probe]:
+    """The probe over all test items, built once."""
     parts = eval_items.select("item_id", F.explode(F.array("question", "answer", "evidence")).alias("t")).where("item_id IS NOT NULL AND t IS NOT NULL")
     total = parts.agg(F.sum(F.char_length("t"))).first()[0] or 0  # checked before anything is collected
     if total > 2 * MOST_CHARS:
         raise ValueError(f"the test items hold {total} characters; at most {2 * MOST_CHARS} are gathered")
-    items = [(r[0], r[1]) for r in parts.orderBy("item_id", "t").collect()]
-    shared = spark.sparkContext.broadcast(items)
+    return documents.sparkSession.sparkContext.broadcast(Probe([(r[0], r[1]) for r in parts.orderBy("item_id", "t").collect()], run))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe = Probe(shared.value, run)
-        for rb in batches:
-            keys, texts = rb.column(0).to_pylist(), rb.column(1).to_pylist()
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """Keys and texts, a bounded number of characters at once."""
+    for rb in batches:
+        keys, texts = rb.column(0).to_pylist(), rb.column(1).to_pylist()
+        for a, b in chunks(map(len, texts)):
+            yield keys[a:b], texts[a:b]
+
+
+def without_spans(documents: DataFrame, eval_items: DataFrame, run: int = RUN) -> DataFrame:
+    """The affected documents with every leaked span removed: doc_id, n_removed (characters), text.
+
+    Removed where it is found, so neither texts nor spans are shuffled for it. Spans that overlap are removed
+    together; equal rows give one row.
+    """
+    shared = _probe(documents, eval_items, run)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in _texts(batches):
+            base = offsets(texts)
+            spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for t, _, x, y in shared.value.scan(texts):
+                spans[t].append((x - int(base[t]), y - int(base[t])))
             rows = []
-            for a, b in chunks(map(len, texts)):
-                base = offsets(texts[a:b])
-                best: dict[tuple[int, int], tuple[int, int]] = {}
-                for (text, item), (x, y) in probe.scan(texts[a:b]).items():
-                    key = (text, int(probe.ids[item]))
-                    if key not in best or y - x > best[key][1] - best[key][0]:
-                        best[key] = (x, y)
-                rows += [(keys[a + t], i, x - int(base[t]), y - int(base[t])) for (t, i), (x, y) in best.items()]
+            for t, own in sorted(spans.items()):
+                kept, at = [], 0
+                for x, y in sorted(own):
+                    kept.append(texts[t][at : max(at, x)])
+                    at = max(at, y)
+                text = "".join([*kept, texts[t][at:]])
+                rows.append((keys[t], len(texts[t]) - len(text), text))
             if rows:
-                yield batch(_FOUND, **dict(zip(_FOUND.names, zip(*rows, strict=True), strict=True)))
+                yield batch(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
 
-    return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(scan, _FOUND_DDL).distinct()
+    return documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(clean, "doc_id long, n_removed long, text string").distinct()
 
 
 def without_leaks(documents: DataFrame, found: DataFrame) -> DataFrame:

@@ -24,21 +24,23 @@ from mnemora.llm.common import batch, chunks, codepoints, mix64, offsets
 from mnemora.session import cut
 
 RUN, THRESHOLD = 4, 0.7
-ROWS, BANDS, HASHES = 4, 20, 104
+ROWS, BANDS, HASHES = 4, 20, 96
 #: Two bits of each of so many minima are the sketch.
 SKETCHED = 96
 #: Least signature similarity of a candidate: THRESHOLD less 3.5 standard deviations of the sketch's estimate.
 SIGNATURE = THRESHOLD - 3.5 * (THRESHOLD * (1 - THRESHOLD) / SKETCHED + (1 - THRESHOLD) / (2 * SKETCHED)) ** 0.5
 #: Texts of a bucket that one task compares at once.
 HOT = 4096
-#: Copies of one text that are expanded into all their pairs; of more, each is paired with the smallest id only.
+#: Copies of one text that are expanded into all their pairs; of more, each is paired with the smallest id only, and
+#: `groups` names everyone's class, from which the other pairs follow.
 COPIES = 200
+#: Texts of a bucket from which it is spread over tasks, and the share of the texts that tell which buckets are that large.
+SPREAD, DRAWN = 4 * HOT, 64
 
-_BAND = pa.schema([("band", pa.int64()), ("fp", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
-_BAND_DDL = "band long, fp long, s0 long, s1 long, s2 long"
-#: A pair (side 0: a, b) or a row of a hot bucket's block (side 1 or 2: its text a and its sketch b, c, d).
-_CANDIDATE = pa.schema([("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("side", pa.int8())])
-_CANDIDATE_DDL = "k long, a long, b long, c long, d long, side byte"
+_BAND = pa.schema([("band", pa.int64()), ("fp", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("side", pa.int8())])
+_BAND_DDL = "band long, fp long, s0 long, s1 long, s2 long, side byte"
+_CANDIDATE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_CANDIDATE_DDL = "a long, b long"
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +77,23 @@ def _minima(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return own, out
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spread(band: np.ndarray, fp: np.ndarray, large: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, side) with large buckets cut into blocks: a text goes to every pair of blocks that its own takes part in."""
+    hot = np.flatnonzero(np.isin(band, np.fromiter(large, dtype=np.int64, count=len(large)))) if large else np.zeros(0, dtype=np.int64)
+    rest = np.setdiff1d(np.arange(len(band)), hot, assume_unique=True)
+    rows, keys, sides = [rest], [band[rest]], [np.zeros(len(rest), dtype=np.int8)]
+    for i in hot.tolist():
+        n = large[int(band[i])]
+        own = int(mix64(fp[i : i + 1].view(np.uint64))[0] % np.uint64(n))
+        other = np.arange(n)
+        low, high = np.minimum(own, other), np.maximum(own, other)
+        keys.append(mix64(band[i : i + 1].view(np.uint64) ^ (low * 1_000_003 + high + 1).astype(np.uint64)).view(np.int64))
+        rows.append(np.full(n, i))
+        sides.append(np.where(other == own, 0, np.where(own < other, 1, 2)).astype(np.int8))
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(sides)
+
+
+def _bands(batches: Iterator[pa.RecordBatch], large: dict[int, int]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for rb in batches:
         fps = rb.column(0).to_numpy()
@@ -102,7 +120,11 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     h = mix64(h ^ minima[k * ROWS + r])
                 band[k] = h
             ids = fps[x:y][own]
-            yield batch(_BAND, band=band.ravel().view(np.int64), fp=np.tile(ids, BANDS), s0=np.tile(s0, BANDS), s1=np.tile(s1, BANDS), s2=np.tile(s2, BANDS))
+            rows, key, side = _spread(band.ravel().view(np.int64), np.tile(ids, BANDS), large)
+            own = rows % len(ids)
+            for a in range(0, len(rows), 200_000):
+                k = own[a : a + 200_000]
+                yield batch(_BAND, band=key[a : a + 200_000], fp=ids[k], s0=s0[k], s1=s1[k], s2=s2[k], side=side[a : a + 200_000])
 
 
 def _similar(sketch: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -129,48 +151,38 @@ def _pairs_of(fp: np.ndarray, sketch: np.ndarray, start: np.ndarray, size: np.nd
 
 
 def _candidate_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    k = mix64(low.view(np.uint64) * np.uint64(31) + high.view(np.uint64)).view(np.int64)
-    none = np.zeros(len(k), dtype=np.int64)
-    return batch(_CANDIDATE, k=k, a=low, b=high, c=none, d=none, side=none.astype(np.int8))
-
-
-def _block_rows(band: int, fp: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A hot bucket as blocks: each row goes to every pair of blocks that its own takes part in."""
-    block = np.arange(len(fp)) // HOT
-    n = int(block[-1]) + 1
-    for i in range(n):
-        for j in range(i, n):
-            key = mix64(np.array([band & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64) ^ np.uint64(i * 1_000_003 + j + 1)).view(np.int64)[0]
-            for side, own in ((1, i), (2, j)):
-                if side == 2 and i == j:
-                    continue
-                k = block == own
-                yield batch(_CANDIDATE, k=np.full(k.sum(), key), a=fp[k], b=sketch[k, 0], c=sketch[k, 1], d=sketch[k, 2], side=np.full(k.sum(), side, dtype=np.int8))
+    return batch(_CANDIDATE, a=np.minimum(a, b), b=np.maximum(a, b))
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of rows sorted by (band, fp): verified pairs, and the blocks of hot buckets."""
-    rest = [np.zeros(0, dtype=np.int64)] * 5
+    """Pairs, verified by sketch, of rows sorted by (band, side, fp). Sides 1 and 2 are two blocks of a large bucket, side 0 is a whole one."""
+    rest = [np.zeros(0, dtype=np.int64)] * 6
     for rb in _with_end(batches):
         last = rb is None
-        band, fp, s0, s1, s2 = rest if last else [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, rb.columns, strict=True)]
-        if not len(band):
+        columns = rest if last else [np.concatenate([r, c.to_numpy().astype(np.int64)]) for r, c in zip(rest, rb.columns, strict=True)]
+        if not len(columns[0]):
             continue
+        band, fp, s0, s1, s2, side = columns
         first = np.append(True, (band[1:] != band[:-1]) | (fp[1:] != fp[:-1]))
-        band, fp, s0, s1, s2 = (x[first] for x in (band, fp, s0, s1, s2))
+        band, fp, s0, s1, s2, side = (x[first] for x in columns)
         upto = len(band) if last else int(np.searchsorted(band, band[-1], "left"))
-        rest = [x[upto:] for x in (band, fp, s0, s1, s2)]
-        band, fp, sketch = band[:upto], fp[:upto], np.stack([s0[:upto], s1[:upto], s2[:upto]], axis=1)
+        rest = [x[upto:] for x in (band, fp, s0, s1, s2, side)]
+        band, fp, side, sketch = band[:upto], fp[:upto], side[:upto], np.stack([s0[:upto], s1[:upto], s2[:upto]], axis=1)
         if not len(band):
             continue
         start = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
         size = np.diff(np.append(start, len(band)))
-        usual = (size > 1) & (size <= HOT)
+        whole = side[start] == 0
+        usual = whole & (size > 1) & (size <= HOT)
         for a, b in _pairs_of(fp, sketch, start[usual], size[usual]):
             yield _candidate_rows(a, b)
-        for s, n in zip(start[size > HOT], size[size > HOT], strict=True):
-            yield from _block_rows(int(band[s]), fp[s : s + n], sketch[s : s + n])
+        for s, n in zip(start[~usual & (size > 1)], size[~usual & (size > 1)], strict=True):
+            one = int(np.searchsorted(side[s : s + n], 2)) if side[s] == 1 else 0  # of two blocks, where the second begins
+            for i in range(one or n):
+                other = np.arange(s + (one or i + 1), s + n)
+                ok = _similar(sketch[other], sketch[s + i]) if len(other) else np.zeros(0, dtype=bool)
+                if ok.any():
+                    yield _candidate_rows(np.full(ok.sum(), fp[s + i]), fp[other[ok]])
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -178,34 +190,11 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs of rows sorted by (k, side, a, b): pairs pass, blocks are compared."""
-    rest = [np.zeros(0, dtype=np.int64)] * 6
-    for rb in _with_end(batches):
-        last = rb is None
-        k, a, b, c, d, side = rest if last else [np.concatenate([r, x.to_numpy().astype(np.int64)]) for r, x in zip(rest, rb.columns, strict=True)]
-        if not len(k):
-            continue
-        upto = len(k) if last else int(np.searchsorted(k, k[-1], "left"))
-        rest = [x[upto:] for x in (k, a, b, c, d, side)]
-        k, a, b, c, d, side = (x[:upto] for x in (k, a, b, c, d, side))
-        plain = side == 0
-        if plain.any():
-            kk, x, y = k[plain], a[plain], b[plain]
-            first = np.append(True, (kk[1:] != kk[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-            yield _candidate_rows(x[first], y[first])
-        hot = np.flatnonzero(~plain)
-        if len(hot):
-            sketch = np.stack([b, c, d], axis=1)
-            edges = np.flatnonzero(np.append(True, k[hot][1:] != k[hot][:-1]))
-            for s, e in zip(edges, np.append(edges[1:], len(hot)), strict=True):
-                own = hot[s:e]
-                one, two = own[side[own] == 1], own[side[own] == 2]
-                for i, p in enumerate(one):
-                    other = two if len(two) else one[i + 1 :]
-                    ok = _similar(sketch[other], sketch[p])
-                    if ok.any():
-                        yield _candidate_rows(np.full(ok.sum(), a[p]), a[other[ok]])
+def _large_buckets(texts: DataFrame) -> dict[int, int]:
+    """Buckets that a random sample of the texts (one in DRAWN, whatever the collection) shows to hold over SPREAD, and their blocks."""
+    some = texts.where(F.pmod("fp", F.lit(DRAWN)) == 0)
+    sizes = some.mapInArrow(lambda batches: _bands(batches, {}), _BAND_DDL).dropDuplicates(["band", "fp"]).groupBy("band").count().where(F.col("count") * DRAWN > SPREAD)
+    return {r["band"]: -(-r["count"] * DRAWN // HOT) for r in sizes.collect()}  # at most 20 * texts / SPREAD, and as a rule none
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,15 +235,10 @@ def prepared(records: DataFrame) -> DataFrame:
 
 def text_links(base: DataFrame) -> DataFrame:
     """Links between different texts: fp_a < fp_b, similarity (exact, at least THRESHOLD). base: of `prepared`."""
-    buckets = base.select("fp", "norm", F.xxhash64("table_name")).mapInArrow(_bands, _BAND_DDL).repartition("band").sortWithinPartitions("band", "fp")
-    pairs = (
-        buckets.mapInArrow(_buckets, _CANDIDATE_DDL)
-        .repartition("k")
-        .sortWithinPartitions("k", "a", "b", "side")
-        .mapInArrow(_blocks, _CANDIDATE_DDL)
-        .select("k", "a", "b")
-        .dropDuplicates(["k", "a", "b"])
-    )
+    keyed = base.select("fp", "norm", F.xxhash64("table_name"))
+    large = _large_buckets(keyed)
+    buckets = keyed.mapInArrow(lambda batches: _bands(batches, large), _BAND_DDL).repartition("band").sortWithinPartitions("band", "side", "fp")
+    pairs = buckets.mapInArrow(_buckets, _CANDIDATE_DDL).dropDuplicates(["a", "b"])
     texts = base.select("fp", "norm").dropDuplicates(["fp"])  # copies go before the shuffle, and the second join reuses it
     first = pairs.join(texts.select(F.col("fp").alias("a"), F.col("norm").alias("x")), "a").dropDuplicates(["a", "b"])
     both = first.join(texts.select(F.col("fp").alias("b"), F.col("norm").alias("y")), "b").dropDuplicates(["a", "b"])
@@ -317,13 +301,15 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if tuple(state) == seen:
             break
         seen = tuple(state)
+    else:
+        raise RuntimeError(f"the components did not settle in {most_rounds} rounds")
     return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component"))).distinct()
 
 
 def groups(records: DataFrame) -> DataFrame:
-    """One row per record that takes part: table_name, record_id, group_id (the group's smallest text fingerprint), n_links.
+    """One row per record that takes part: table_name, record_id, class_id, group_id (the group's smallest text fingerprint), n_links.
 
-    n_links is the number of other texts it is linked with. A record alike to none is its own group.
+    class_id is the text's fingerprint, the same for exact copies. n_links is the number of other texts it is linked with. A record alike to none is its own group.
     """
     base = prepared(records)
     links = cut(text_links(base))
@@ -333,5 +319,5 @@ def groups(records: DataFrame) -> DataFrame:
     return (
         own.join(label.withColumnRenamed("node", "fp"), "fp", "left")
         .join(degree, "fp", "left")
-        .select("table_name", "record_id", F.coalesce("component", "fp").alias("group_id"), F.coalesce("count", F.lit(0)).alias("n_links"))
+        .select("table_name", "record_id", F.col("fp").alias("class_id"), F.coalesce("component", "fp").alias("group_id"), F.coalesce("count", F.lit(0)).alias("n_links"))
     )

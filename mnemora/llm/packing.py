@@ -11,10 +11,12 @@ its own: beside the sizes nothing is moved, and only the last bin or so of a par
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from mnemora.llm.common import batch
@@ -106,8 +108,11 @@ def items(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY) ->
     Null texts are no items, an empty text is one of size 0; a redelivered row counts once.
     """
 
+    documents.sparkSession.sparkContext.addFile(vocabulary)  # executors fetch it, wherever the driver has it
+    name = os.path.basename(vocabulary)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary).encode_ordinary
+        encode = tokenizer(SparkFiles.get(name)).encode_ordinary
         for rb in batches:
             rows: list[tuple[int, int, int, int]] = []
             for key, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):

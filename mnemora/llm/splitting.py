@@ -3,7 +3,7 @@
 Method: agglomerative merging. An item is first cut into atomic segments; the boundaries between them have
 strengths (paragraph, line, sentence, word, none). Adjacent pairs lie in a heap and the weakest boundary is
 merged first, while the combined segment plus the overlap still fits the limit. What remains are the cuts.
-Only oversized items reach Python; each is independent, so no shuffle is needed.
+Only oversized items reach Python; each is independent, and they alone are shuffled, to drop redelivered copies.
 """
 
 from __future__ import annotations

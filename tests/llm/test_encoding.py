@@ -27,12 +27,13 @@ def test_round_trip(chain):
 
 def test_documents(spark):
     rows = [(i, x, lang) for i, (lang, x) in enumerate(CLEAN * 12)]
-    bad = {1000: e.garble(CLEAN[0][1], ("utf-8", "cp1252")), 1001: e.garble(CLEAN[5][1], ("utf-8", "latin-1")), 1002: e.garble(CLEAN[4][1], ("cp1251", "latin-1")), 1003: "ein Bröt�hen, f�r"}
-    rows += [(k, "plain line\n" + x, None) for k, x in bad.items()] + [(2000, None, "en"), (2001, "", "en"), (2002, "ascii only", "en")]
+    bad = {1000: e.garble(CLEAN[0][1], ("utf-8", "cp1252")), 1001: e.garble(CLEAN[5][1], ("utf-8", "latin-1")), 1002: e.garble(CLEAN[4][1], ("cp1251", "latin-1")), 1003: "ein Bröt�hen, f�r", 1004: " \ufffd ".join([e.garble(CLEAN[0][1], ("utf-8", "cp1252"))] * 2)}
+    rows += [(k, "plain line\n" + x if k < 1003 else x, None) for k, x in bad.items()] + [(2000, None, "en"), (2001, "", "en"), (2002, "ascii only", "en")]
     got = {r["doc_id"]: r for r in e.garbled(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert set(got) == set(bad)
     assert got[1000]["text"] == "plain line\n" + CLEAN[0][1] and got[1001]["text"].endswith(CLEAN[5][1])
     assert got[1003]["n_lost"] == 1
+    assert got[1004]["n_lost"] == 1 and got[1004]["text"] == CLEAN[0][1] + " \ufffd " + CLEAN[0][1]  # what stands beside the loss is restored
 
 
 def test_empty(spark):

@@ -11,7 +11,7 @@ def test_held_out_accuracy_and_edges(spark, sf01):
     model = l.fit(train)
     hits = 0
     for k in range(0, len(test), 200):
-        for r, found in l.assign([x for _, x in test[k : k + 200]], model):
+        for r, _, found in l.assign([x for _, x in test[k : k + 200]], model):
             hits += found[0][2] == test[k + r][0]
     assert hits >= 0.98 * len(test)
 
@@ -31,6 +31,8 @@ def test_held_out_accuracy_and_edges(spark, sf01):
     df = spark.createDataFrame([(*r, "clash") for r in rows + rows[:2]], RECORDS)
     aliases = spark.createDataFrame([("en", "en"), ("de", "de"), ("fr", "fr"), ("zh", "zh")], "alias string, lang string")
     got = {(r["record_id"], r["lang"]) for r in l.mislabelled(l.detect(df, documents), aliases).collect()}
+    short = {r["record_id"]: r["segments"] for r in l.detect(spark.createDataFrame([("m", "a", "der Bäcker", None, ""), ("m", "b", "123", None, "")], RECORDS), documents).collect()}
+    assert [x["lang"] for x in short["a"]] == ["de"] and short["a"][0]["confidence"] <= 0.5 and short["b"] == []
     assert got == {("wrong", "de"), ("missing", "ru"), ("mixed", "en"), ("mixed", "zh")}
 
 

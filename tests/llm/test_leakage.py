@@ -33,8 +33,19 @@ def test_against_brute_force(spark):
     assert got == want and len(want) > 10
 
 
+def test_every_run_is_found_and_removed(spark):
+    q = "".join(chr(97 + (i * 7 + i // 26) % 26) for i in range(200))
+    text = f"Start. {q[:60]}! And then, {q[100:180].upper()}? The end."
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "clean"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, q, None, q[110:170])], "item_id long, question string, answer string, evidence string")
+    spans = sorted((r["start_at"], r["end_at"]) for r in l.leaks(docs, items).collect())
+    assert [text[a:b].lower() for a, b in spans if b - a in (60, 80)] == [q[:60], q[100:180], q[110:170]]
+    (row,) = l.without_spans(docs, items).collect()
+    assert (row["doc_id"], row["n_removed"], row["text"]) == (1, 140, "Start. ! And then, ? The end.")
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     e = spark.createDataFrame([], "item_id long, question string, answer string, evidence string")
-    assert l.leaks(d, e).count() == 0
+    assert l.leaks(d, e).count() == 0 and l.without_spans(d, e).count() == 0
     assert l.without_leaks(spark.createDataFrame([(1, "x")], "doc_id long, text string"), l.leaks(d, e)).count() == 1

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from mnemora.llm import neardup as nd
 
 RECORDS = "table_name string, record_id string, content string, fp long"
@@ -38,23 +40,37 @@ def test_pairs_against_brute_force(spark):
 
 
 def test_hot_bucket_is_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(nd, "HOT", 8)  # seen by the driver's own call below
     import numpy as np
     import pyarrow as pa
 
     rnd = np.random.default_rng(0)
     fp = np.sort(rnd.choice(10_000, 50, replace=False)).astype(np.int64)
     s = np.repeat(rnd.integers(-(1 << 62), 1 << 62, 2), 25)
-    rb = nd.batch(nd._BAND, band=np.full(50, 5), fp=fp, s0=s, s1=s, s2=s)
-    rows = pa.Table.from_batches(list(nd._buckets(iter([rb])))).sort_by([(c, "ascending") for c in ("k", "a", "b", "side")])
-    out = pa.Table.from_batches(list(nd._blocks(iter(rows.combine_chunks().to_batches())))).to_pandas()
     want = {(min(fp[i], fp[j]), max(fp[i], fp[j])) for i in range(50) for j in range(i) if s[i] == s[j]}
-    assert set(zip(out["a"], out["b"])) == want
+    for hot, large in ((8, {}), (4096, {5: 6}), (3, {5: 4})):
+        monkeypatch.setattr(nd, "HOT", hot)
+        row, key, side = nd._spread(np.full(50, 5), fp, large)
+        rb = nd.batch(nd._BAND, band=key, fp=fp[row], s0=s[row], s1=s[row], s2=s[row], side=side)
+        rb = pa.Table.from_batches([rb]).sort_by([(c, "ascending") for c in ("band", "side", "fp")]).combine_chunks().to_batches()
+        out = pa.Table.from_batches(list(nd._buckets(iter(rb)))).to_pandas()
+        assert set(zip(out["a"], out["b"])) == want
+
+
+def test_large_buckets_are_found_in_a_sample_and_spread(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SPREAD", 40)
+    monkeypatch.setattr(nd, "DRAWN", 2)
+    base = " ".join(f"boilerplate number {i} of the long common text" for i in range(40))
+    rows = [("t", f"{i:03d}", f"{base} {i:05d}") for i in range(120)]
+    df = spark.createDataFrame(rows, "table_name string, record_id string, content string")
+    keyed = nd.prepared(df).selectExpr("fp", "norm", "xxhash64(table_name)")
+    assert nd._large_buckets(keyed)
+    assert nd.text_links(nd.prepared(df)).count() == 120 * 119 // 2
 
 
 def test_many_copies_are_one_group(spark):
     df = spark.createDataFrame([("t", f"{i:05d}", "the very same text") for i in range(600)] + [("t", "x", "quite another one")], "table_name string, record_id string, content string")
     assert nd.record_pairs(df).count() == 599  # each copy with the smallest id
+    assert nd.groups(df).select("class_id").distinct().count() == 2
     g = nd.groups(df).groupBy("group_id").count().collect()
     assert sorted(r["count"] for r in g) == [1, 600]
 
@@ -76,6 +92,11 @@ def test_components(spark):
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_components_that_do_not_settle_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        nd.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"), most_rounds=1)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "table_name string, record_id string, content string")
     assert nd.record_pairs(df).count() == 0 and nd.groups(df).count() == 0

@@ -40,11 +40,12 @@ class MemoryFilter:
             if (v := getattr(self, name)) is not None:
                 tests.append(F.col(name) == v)
         for name in ("created", "updated"):
-            at = F.date_trunc("millisecond", f"{name}_at")
+            at = F.col(f"{name}_at")  # bare, so that the bounds reach the scan; they are cut to milliseconds instead
             if (v := getattr(self, f"{name}_after")) is not None:
-                tests.append(at >= F.lit(v))
+                least = v.replace(microsecond=v.microsecond // 1000 * 1000)
+                tests.append(at >= F.lit(least if least == v else least + dt.timedelta(milliseconds=1)))
             if (v := getattr(self, f"{name}_before")) is not None:
-                tests.append(at <= F.lit(v))
+                tests.append(at < F.lit(v.replace(microsecond=v.microsecond // 1000 * 1000) + dt.timedelta(milliseconds=1)))
         tests += [F.array_contains("topics", t) for t in self.topics]
         tests += [F.array_contains("entities", e) for e in self.entities]
         if self.min_importance is not None:

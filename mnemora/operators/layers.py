@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mnemora.functions import text as t
 from mnemora.functions import uri as u
 from mnemora.operators import tree
+from mnemora.session import cut
 
 #: Characters of a directory's text that the abstract and the overview are made from.
 ABSTRACT_INPUT, OVERVIEW_INPUT = 8_000, 16_000
@@ -21,6 +22,16 @@ def first_sentences(text: Column, n: int = 2) -> Column:
     return t.limited_abstract(F.regexp_extract(body, rf"^((?:.*?[。.?!！？]){{1,{n}}}|.*)", 1))
 
 
+def overview(text: Column) -> Column:
+    """The deterministic overview: the beginning of the text, within the overview's limit."""
+    return t.limited_overview(F.left(text, F.lit(OVERVIEW_INPUT)))
+
+
+def changed(fresh: DataFrame, stored: DataFrame) -> DataFrame:
+    """The rebuilt directories whose content no longer has the stored hash, so only these are written. stored: dir, source_hash."""
+    return fresh.join(stored.select("dir", F.col("source_hash").alias("_old")), "dir", "left").where(~F.col("source_hash").eqNullSafe(F.col("_old"))).drop("_old")
+
+
 def bundle(memories: DataFrame) -> DataFrame:
     """The three layers of each directory side by side: dir, abstract, overview, n_files.
 
@@ -47,7 +58,7 @@ def child_abstracts(abstracts: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def rebuilt(files: DataFrame, summarise: Callable[[Column], Column] = first_sentences) -> DataFrame:
-    """Abstract of every directory above a file: dir, depth, abstract, source_hash.
+    """Abstract and overview of every directory above a file: dir, depth, abstract, overview, source_hash.
 
     files: uri, text. A directory with own files is summed up from them, any other from its children's
     abstracts; one pass per level, the deepest first. The number of levels is bounded by the URIs' depth.
@@ -65,10 +76,11 @@ def rebuilt(files: DataFrame, summarise: Callable[[Column], Column] = first_sent
         else:
             here = here.withColumn("sub", F.lit(None).cast("string"))
         content = F.coalesce("own", "sub", F.lit(""))
-        now = here.select("dir", "depth", summarise(content).alias("abstract"), F.sha2(content, 256).alias("source_hash"))
+        # Cut, or each level's plan would hold those of all deeper ones, once in itself and once in the union.
+        now = cut(here.select("dir", "depth", summarise(content).alias("abstract"), overview(content).alias("overview"), F.sha2(content, 256).alias("source_hash")))
         done = now if done is None else done.unionByName(now)
         level_above = now.select("dir", "abstract")
-    return done if done is not None else every.select("dir", "depth", F.lit("").alias("abstract"), F.lit("").alias("source_hash"))
+    return done if done is not None else every.select("dir", "depth", F.lit("").alias("abstract"), F.lit("").alias("overview"), F.lit("").alias("source_hash"))
 
 
 def stale(files: DataFrame, layers: DataFrame) -> DataFrame:

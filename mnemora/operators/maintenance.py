@@ -44,3 +44,14 @@ def ready_sessions(sessions: DataFrame, index: DataFrame, vectors: DataFrame) ->
 def participants(sessions: DataFrame) -> DataFrame:
     """Sessions of each participant: participant, n_sessions, n_open. sessions: thread_id, status, participants."""
     return sessions.select(F.explode(F.array_distinct("participants")).alias("participant"), "status").groupBy("participant").agg(F.count("*").alias("n_sessions"), F.count_if(F.col("status") == "active").alias("n_open"))
+
+
+def unindexed(messages: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Messages without a vector of their id; both sides hold an id."""
+    return messages.join(vectors.select("id").distinct(), "id", "left_anti")
+
+
+def looked_up(ids: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Points by id: id, found, score (1 where found, else null)."""
+    held = vectors.select("id").distinct().withColumn("_held", F.lit(True))
+    return ids.join(held, "id", "left").select("id", F.coalesce("_held", F.lit(False)).alias("found"), F.when(F.col("_held"), 1.0).alias("score"))

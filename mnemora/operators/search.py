@@ -26,34 +26,32 @@ QUERY_BLOCK, VECTOR_BLOCK = 2048, 16_384
 #: Queries of one keyword scan; more take several scans.
 ASKED_BLOCK = 20_000
 
-_KEYS = pa.schema([("q", pa.int64()), ("v", pa.int64()), ("score", pa.float64())])
-
-
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
     """The k nearest vectors of every query by cosine: query_id, vec_id, score (rounded to six decimals).
 
-    queries: query_id, embedding; vectors: vec_id, embedding (longs, arrays of one length). Exact: both sides
-    are cut into blocks by hash, every pair of blocks is one task's matrix product, and only its best k of
-    each query are shuffled. Null vectors and those without length match nothing; ties go to the smaller id.
-    Neither side is broadcast, so neither has a size limit.
+    queries: query_id, embedding; vectors: vec_id, embedding (ids are longs or strings). Exact: both sides are cut
+    into blocks by hash and length, every pair of blocks is one task's matrix product, and only its best k of each
+    query are shuffled. A query meets vectors of its own length only; null vectors and elements and those without
+    length match nothing; ties go to the smaller id. Neither side is broadcast, so neither has a size limit.
     """
-    q = queries.where("embedding IS NOT NULL").select(F.col("query_id").alias("id"), F.col("embedding").cast("array<float>").alias("e"))
-    v = vectors.where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("e"))
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["vec_id"]
+    q = queries.where(whole).select(F.col("query_id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("e"), F.size("embedding").alias("len"))
+    v = vectors.where(whole).select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("e"), F.size("embedding").alias("len"))
     n_q, n_v = (max(1, -(-df.count() // size)) for df, size in ((q, QUERY_BLOCK), (v, VECTOR_BLOCK)))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    left = q.select(block(n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"), F.lit(True).alias("query"), "id", "e")
-    right = v.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("qb"), block(n_v).cast("int").alias("vb"), F.lit(False).alias("query"), "id", "e")
+    left = q.select(block(n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"), F.lit(True).alias("query"), "id", "e", "len")
+    right = v.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("qb"), block(n_v).cast("int").alias("vb"), F.lit(False).alias("query"), "id", "e", "len")
 
     def best(t: pa.Table) -> pa.Table:
         is_query = t.column("query").to_numpy()
-        ids = t.column("id").to_numpy()
-        rows = t.column("e").to_pylist()
-        size = max(map(len, rows), default=0)
-        x = np.array([r if len(r) == size and None not in r else [0.0] * size for r in rows], dtype=np.float32).reshape(len(rows), size).astype(np.float64)
+        ids = t.column("id")
+        x = t.column("e").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.float64)
         norm = np.linalg.norm(x, axis=1)
         x[norm > 0] /= norm[norm > 0, None]
         a, b = np.flatnonzero(is_query & (norm > 0)), np.flatnonzero(~is_query & (norm > 0))
-        b = b[np.argsort(ids[b])]
+        known = ids.take(pa.array(b)).to_pylist()
+        b = b[sorted(range(len(b)), key=(known if kinds[1] == "string" else list(map(int, known))).__getitem__)]
         out: list[list[np.ndarray]] = [[], [], []]
         if len(b):
             for i in range(0, len(a), 256):
@@ -62,11 +60,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = -1.
                 score = np.take_along_axis(s, order, axis=1)
                 keep = score >= threshold
                 r = np.repeat(a[i : i + 256], keep.sum(axis=1))
-                for column, value in zip(out, (ids[r], ids[b][order[keep]], score[keep]), strict=True):
+                for column, value in zip(out, (r, b[order[keep]], score[keep]), strict=True):
                     column.append(value)
-        return pa.table({n: np.concatenate(c) if c else np.zeros(0) for n, c in zip(_KEYS.names, out, strict=True)}, schema=_KEYS)
+        r, c, score = (np.concatenate([np.zeros(0, dtype=kind), *column]) for kind, column in zip((np.int64, np.int64, np.float64), out, strict=True))
+        return pa.table({"q": ids.take(pa.array(r)), "v": ids.take(pa.array(c)), "score": score})
 
-    found = left.unionByName(right).groupBy("qb", "vb").applyInArrow(best, "q long, v long, score double")
+    found = left.unionByName(right).groupBy("qb", "vb", "len").applyInArrow(best, "q string, v string, score double").select(F.col("q").cast(kinds[0]), F.col("v").cast(kinds[1]), "score")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))
     return found.withColumn("r", rank).where(F.col("r") <= k).select(F.col("q").alias("query_id"), F.col("v").alias("vec_id"), "score")
 
@@ -82,6 +81,35 @@ def intent_rules(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(list(INTENT_RULES), "intent string, w0 double, w1 double, w2 double, threshold double")
 
 
+def normalised(rules: DataFrame) -> DataFrame:
+    """Rules whose weights sum to one; weights without a positive sum become those of the general intent."""
+    total = F.col("w0") + F.col("w1") + F.col("w2")
+    general = dict(zip(("w0", "w1", "w2"), INTENT_RULES[-1][1:4], strict=True))
+    return rules.select("intent", *[F.when(total > 0, F.col(w) / total).otherwise(v).alias(w) for w, v in general.items()], "threshold")
+
+
+def semantic(queries: DataFrame, vectors: DataFrame, index: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """Search over all layers: query_id, uri (canonical), score.
+
+    queries: query_id, embedding; vectors: vec_id (once), embedding, uri, layer, content; index as in `without_archived`.
+    Three times the limit are searched; details gain and summaries lose by their layer, then each result by its path;
+    the best of each canonical URI is kept and the list cut; archived memories are dropped after the cut, so a list
+    can be shorter than the limit. A vector without URI goes by its id.
+    """
+    if limit < 1 or not -1 <= threshold <= 1:
+        raise ValueError("the limit must be positive and the threshold a cosine")
+    layer = F.coalesce("layer", F.lit("L2"))
+    placed = F.when(layer == "L2", 0.08).when(layer == "L1", -0.04).when(layer == "L0", -0.08).otherwise(0.0)
+    near = top_k(queries, vectors, 3 * limit, threshold).join(vectors.drop("embedding"), "vec_id")
+    uri = F.coalesce("uri", "vec_id")
+    none = F.array().cast("array<string>")
+    bonus = rerank_bonus(u.canonical(uri), F.lit(""), none, none)
+    scored = near.select("query_id", uri.alias("uri"), F.round(F.col("score") + placed + bonus, 6).alias("score"), F.left("content", F.lit(200)).alias("snippet"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "uri"))
+    best = dedup_canonical(scored, ["query_id"]).withColumn("r", rank).where(F.col("r") <= limit)
+    return without_archived(best, index).select("query_id", "uri", "score")
+
+
 def layered(l0: DataFrame, l1: DataFrame, members: DataFrame, w: tuple[float, float, float], l0_threshold: float, threshold: float, limit: int) -> DataFrame:
     """Staged retrieval: query_id, vec_id, score.
 
@@ -110,14 +138,18 @@ def first_tier(hits: DataFrame, thresholds: tuple[float, ...], limit: int) -> Da
     return first.withColumn("r", rank).where(F.col("r") <= limit).select("query_id", "vec_id", "score", "tier")
 
 
+#: What a result gains or loses (fixed values): by being a file, for each keyword and entity and how many count, by its collection.
+LEAF, KEYWORD, KEYWORDS, ENTITY, ENTITIES, COLLECTION, IN_COLLECTION = 0.12, 0.03, 4, 0.05, 3, -0.14, -0.08
+
+
 def rerank_bonus(uri: Column, snippet: Column, keywords: Column, entities: Column) -> Column:
     """What a result gains by its path and text: files over directories, up to four keywords and three entities."""
     low = F.lower(snippet)
     hits = F.size(F.filter(keywords, lambda k: low.contains(k)))
     named = F.size(F.filter(entities, lambda e: low.contains(F.lower(e))))
     path = F.lower(uri)
-    whole = F.when(path.rlike("/(entities|events|goals|relationships)$"), -0.14).when(path.contains("/entities/"), -0.08).otherwise(0.0)
-    return F.round(F.when(u.is_leaf(uri), 0.12).otherwise(-0.12) + F.least(hits, F.lit(4)) * 0.03 + F.least(named, F.lit(3)) * 0.05 + whole, 6)
+    whole = F.when(path.rlike("/(entities|events|goals|relationships)$"), COLLECTION).when(path.contains("/entities/"), IN_COLLECTION).otherwise(0.0)
+    return F.round(F.when(u.is_leaf(uri), LEAF).otherwise(-LEAF) + F.least(hits, F.lit(KEYWORDS)) * KEYWORD + F.least(named, F.lit(ENTITIES)) * ENTITY + whole, 6)
 
 
 def dedup_canonical(results: DataFrame, keys: list[str]) -> DataFrame:

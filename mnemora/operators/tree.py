@@ -20,11 +20,35 @@ def below(files: DataFrame) -> DataFrame:
 
 
 def listing(files: DataFrame) -> DataFrame:
-    """Children of every directory: dir, child, is_directory, child_count (files below the child; 0 for a file)."""
+    """Children of every directory: dir, child, is_directory, child_count (a directory's visible children; 0 for a file)."""
     direct = files.select(u.parent(F.col("uri")).alias("dir"), F.col("uri").alias("child")).where(visible(u.name(F.col("child")))).distinct()
-    dirs = below(files.select("uri")).groupBy("dir").agg(F.count("*").alias("n")).where(F.size(u.segments(F.col("dir"))) > 1)
-    folders = dirs.select(u.parent(F.col("dir")).alias("dir"), F.col("dir").alias("child"), F.lit(True).alias("is_directory"), F.col("n").alias("child_count"))
-    return direct.select("dir", "child", F.lit(False).alias("is_directory"), F.lit(0).cast("long").alias("child_count")).unionByName(folders)
+    dirs = below(files.select("uri")).select("dir").distinct().where(F.size(u.segments(F.col("dir"))) > 1)
+    folders = dirs.select(u.parent(F.col("dir")).alias("dir"), F.col("dir").alias("child"))
+    counts = direct.unionByName(folders).groupBy(F.col("dir").alias("child")).agg(F.count("*").alias("n"))
+    held = folders.join(counts, "child", "left").select("dir", "child", F.lit(True).alias("is_directory"), F.coalesce("n", F.lit(0)).alias("child_count"))
+    return direct.select("dir", "child", F.lit(False).alias("is_directory"), F.lit(0).cast("long").alias("child_count")).unionByName(held)
+
+
+def recursive(files: DataFrame, abstracts: DataFrame) -> DataFrame:
+    """All visible files with the abstract of their directory, null where there is none: uri, dir, abstract. abstracts: dir (once), abstract."""
+    return files.where(visible(u.name(F.col("uri")))).select("uri", u.parent(F.col("uri")).alias("dir")).join(abstracts.select("dir", "abstract"), "dir", "left").select("uri", "dir", "abstract")
+
+
+def coverage_totals(directories: DataFrame, layers: DataFrame) -> DataFrame:
+    """One row: n_dirs, n_complete (with both layers), n_missing, percent (whole; 100 without directories). directories: dir (once); layers: dir, layer."""
+    ok = layers.groupBy("dir").agg((F.bool_or(F.col("layer") == "L0") & F.bool_or(F.col("layer") == "L1")).alias("ok"))
+    complete = F.count_if(F.coalesce("ok", F.lit(False)))
+    return directories.join(ok, "dir", "left").agg(F.count("*").alias("n_dirs"), complete.alias("n_complete")).select(
+        "n_dirs", "n_complete", (F.col("n_dirs") - F.col("n_complete")).alias("n_missing"), F.when(F.col("n_dirs") == 0, 100).otherwise(F.expr("n_complete * 100 div n_dirs")).alias("percent")
+    )
+
+
+def dimensions(files: DataFrame) -> DataFrame:
+    """Directories with files, files, messages at any depth and directly below a timeline, of every dimension: dimension, n_dirs, n_files, n_messages, n_direct."""
+    uri = F.col("uri")
+    return files.groupBy(F.get(u.segments(uri), 0).alias("dimension")).agg(
+        F.count_distinct(u.parent(uri)).alias("n_dirs"), F.count("*").alias("n_files"), F.count_if(uri.contains("/timeline/")).alias("n_messages"), F.count_if(uri.rlike("/timeline/[^/]*$")).alias("n_direct")
+    )
 
 
 def stats(files: DataFrame) -> DataFrame:
@@ -68,9 +92,9 @@ def coverage(memories: DataFrame) -> DataFrame:
 
 def explore(files: DataFrame, query: str, depth: int = 3) -> DataFrame:
     """Directories down to a depth with the share of their files that hold the query: dir, depth, n_files, n_hits, relevance."""
-    hit = F.col("text").contains(query)
+    hit = F.col("hit")
     return (
-        below(files.where("text IS NOT NULL"))
+        below(files.where("text IS NOT NULL").select("uri", F.col("text").contains(query).alias("hit")))  # searched once, and only the answer is multiplied
         .withColumn("depth", F.size(u.segments(F.col("dir"))).cast("long"))
         .where(F.col("depth") <= depth)
         .groupBy("dir", "depth")

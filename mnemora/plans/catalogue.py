@@ -147,8 +147,8 @@ def filter_created(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT id FROM memories WHERE regexp_matches(uri, '^\\w+://user/') OR uri IS NULL")
 def filter_prefix_keep_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "memories")
-    scheme = F.regexp_extract("uri", r"^(\w+://)", 1)
-    return m.where(F.col("uri").startswith(F.concat(scheme, F.lit("user/"))) | F.col("uri").isNull()).select("id").distinct()
+    scheme = m.where("uri IS NOT NULL").select(F.regexp_extract("uri", r"^(\w+://)", 1)).first()[0]  # one scheme for all
+    return m.where(MemoryFilter(uri_prefix=scheme + "user/", keep_null_uri=True).column()).select("id").distinct()
 
 
 @query("SELECT DISTINCT id FROM memories WHERE coalesce(contains(map_extract_value(custom, 'lang'), 'en'), false)")
@@ -202,7 +202,7 @@ def scope_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- query understanding and text --------------------------------------------------------------------
 
-_KEYS = r"list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(q, '[^\p{L}\p{N}+#]+'), lambda x: lower(x)), lambda x: length(x) > 2 AND x NOT IN ('what','when','where','which','who','tell','about','does','did','with','from','that','this'))))"
+_KEYS = r"list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(q, '[^\p{L}\p{N}+#]+'), lambda x: lower(x)), lambda x: length(x) > 2 AND x NOT IN (STOP))))".replace("STOP", ", ".join(f"'{w}'" for w in t.STOP_WORDS))
 _ENTS = r"list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(q, '\s+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}_-]+|[^\p{L}\p{N}_-]+$', '', 'g')), lambda x: length(x) >= 2 AND regexp_matches(x, '^\p{Lu}'))))"
 _ASKED = "SELECT DISTINCT query_id, original_query AS q FROM query_intents WHERE original_query IS NOT NULL"
 _INTENT = "CASE " + " ".join(f"WHEN regexp_matches(lower(q), '{'|'.join(w)}') THEN '{k}'" for k, w in t.INTENT_WORDS) + " ELSE 'factual' END"
@@ -283,7 +283,8 @@ a AS (SELECT uri, size, r || array_to_string(s[1:n], '/') AS dir FROM (SELECT *,
 @query(
     _ABOVE
     + r"""SELECT regexp_replace(uri, '/[^/]*$', '') AS dir, uri AS child, false AS is_directory, 0::BIGINT AS child_count FROM f WHERE NOT starts_with(regexp_extract(uri, '([^/]*)$', 1), '.')
-UNION ALL SELECT regexp_replace(dir, '/[^/]*$', ''), dir, true, count(*) FROM a WHERE regexp_matches(dir, '^\w+://[^/]+/') GROUP BY dir"""
+UNION ALL SELECT regexp_replace(d, '/[^/]*$', ''), d, true, coalesce(n, 0) FROM (SELECT DISTINCT dir AS d FROM a WHERE regexp_matches(dir, '^\w+://[^/]+/')) LEFT JOIN
+  (SELECT dir AS d, count(DISTINCT child) AS n FROM (SELECT regexp_replace(uri, '/[^/]*$', '') AS dir, uri AS child FROM f WHERE NOT starts_with(regexp_extract(uri, '([^/]*)$', 1), '.') UNION ALL SELECT regexp_replace(dir, '/[^/]*$', ''), dir FROM a) GROUP BY 1) USING (d)"""
 )
 def dir_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.listing(_documents(spark, sf_dir).select("uri"))
@@ -390,23 +391,63 @@ def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MERGE = r"""WITH x AS (SELECT DISTINCT fact_id, coalesce(thread_id, '') AS session, category AS memory_type, lower(coalesce(entities[1], 'general')) AS key_name, content, importance::DOUBLE AS confidence, min(extracted_at) AS first_at
   FROM facts WHERE content IS NOT NULL AND category IS NOT NULL GROUP BY ALL),
-l AS (SELECT memory_type, key_name, max_by(struct_pack(h := sha256(content), s := content, c := confidence), (first_at, fact_id)) AS x, count(*) AS n_items, list_sort(list(DISTINCT session)) AS sessions FROM x GROUP BY ALL),
+l AS (SELECT memory_type, key_name, max_by(struct_pack(h := sha256(content), s := content, c := confidence), (first_at, fact_id)) AS x, count(*) AS n_items, count(DISTINCT session) AS n_sessions FROM x GROUP BY ALL),
 i AS (SELECT memory_type, key_name, max_by(struct_pack(h := content_hash, s := content_summary, c := confidence), (updated_at, id)) AS o FROM memory_index GROUP BY ALL),
 j AS (SELECT l.*, o, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(o.s, '')), '\s+'), lambda w: w <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(x.s), '\s+'), lambda w: w <> '')) AS b
   FROM l LEFT JOIN i USING (memory_type, key_name))
 SELECT 'all' AS owner_id, memory_type, key_name, CASE WHEN o IS NULL THEN 'create' WHEN x.c > o.c + 0.1 OR o.h IS DISTINCT FROM x.h OR coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0) < 0.9 THEN 'update' ELSE 'keep' END AS action,
-  round(x.c, 6) AS confidence, n_items, array_to_string(sessions, ' ') AS sessions FROM j"""
+  round(x.c, 6) AS confidence, n_items, n_sessions FROM j"""
 
 
 @query(_MERGE)
 def merge_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts as extracted items, merged by type and first entity."""
+    index, items = _merge_input(spark, sf_dir)
+    return merge.merge_actions(index, items).withColumn("confidence", F.round("confidence", 6))
+
+
+def _merge_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The index with each key once, and the facts as extracted items of type and first entity."""
     f = table(spark, sf_dir, "facts").where("content IS NOT NULL AND category IS NOT NULL")
     x = f.groupBy("fact_id", F.coalesce("thread_id", F.lit("")).alias("session"), F.col("category").alias("memory_type"), F.lower(F.coalesce(F.get("entities", 0), F.lit("general"))).alias("key_name"), "content", F.col("importance").cast("double").alias("confidence")).agg(F.min("extracted_at").alias("at"))
     items = x.select(F.lit("all").alias("owner_id"), "memory_type", "key_name", F.sha2("content", 256).alias("content_hash"), F.col("content").alias("summary"), "confidence", "session", F.struct("at", "fact_id").alias("ordinal"))
-    i = table(spark, sf_dir, "memory_index").select(F.lit("all").alias("owner_id"), "memory_type", "key_name", "content_hash", "content_summary", "confidence", "updated_at", "id")
-    index = merge.latest(i, list(merge.KEY), [F.col("updated_at"), F.col("id")])
-    return merge.merge_actions(index, items).withColumn("confidence", F.round("confidence", 6)).withColumn("sessions", F.array_join("sessions", " "))
+    i = table(spark, sf_dir, "memory_index").select(F.lit("all").alias("owner_id"), "memory_type", "key_name", "content_hash", "content_summary", "confidence", "created_at", "updated_at", "access_count", "id")
+    return merge.latest(i.withColumn("u", F.col("updated_at")), list(merge.KEY), [F.col("u"), F.col("id")]).drop("u", "id"), items
+
+
+_ITEMS = _MERGE[: _MERGE.index("i AS (SELECT")]
+
+
+@query(
+    _ITEMS
+    + r"""i AS (SELECT memory_type, key_name, max_by(struct_pack(h := content_hash, s := content_summary, c := confidence, made := created_at, upd := updated_at, n := access_count), (updated_at, id)) AS o FROM memory_index GROUP BY ALL),
+j AS (SELECT coalesce(l.memory_type, i.memory_type) AS memory_type, coalesce(l.key_name, i.key_name) AS key_name, l.x AS x, o,
+  list_distinct(list_filter(regexp_split_to_array(lower(coalesce(o.s, '')), '\s+'), lambda w: w <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(x.s), '\s+'), lambda w: w <> '')) AS b
+  FROM l FULL JOIN i ON l.memory_type = i.memory_type AND l.key_name = i.key_name),
+k AS (SELECT *, CASE WHEN x IS NULL THEN 'none' WHEN o IS NULL THEN 'create' WHEN x.c > o.c + 0.1 OR o.h IS DISTINCT FROM x.h OR coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0) < 0.9 THEN 'update' ELSE 'keep' END AS change_type FROM j)
+SELECT 'all' AS owner_id, memory_type, key_name, CASE WHEN change_type IN ('create', 'update') THEN x.h ELSE o.h END AS content_hash, CASE WHEN change_type IN ('create', 'update') THEN x.s ELSE o.s END AS content_summary,
+  round(CASE WHEN change_type IN ('create', 'update') THEN x.c ELSE o.c END, 6) AS confidence, CASE WHEN change_type = 'create' THEN TIMESTAMPTZ '2026-01-01 00:00:00+00' ELSE o.made END AS created_at,
+  CASE WHEN change_type IN ('create', 'update') THEN TIMESTAMPTZ '2026-01-01 00:00:00+00' ELSE o.upd END AS updated_at, coalesce(o.n, 0)::BIGINT AS access_count, change_type FROM k"""
+)
+def merged_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after the facts: created and updated rows with their effects."""
+    index, items = _merge_input(spark, sf_dir)
+    return merge.applied(index, items, F.lit(AS_OF).cast("timestamp")).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(_ITEMS.rstrip().rstrip(",") + """
+SELECT session, count(DISTINCT (memory_type, key_name)) AS n_keys FROM x WHERE session <> '' GROUP BY session""")
+def session_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many keys each session contributed to."""
+    _, items = _merge_input(spark, sf_dir)
+    return merge.links(items).where("session <> ''").groupBy("session").agg(F.count("*").alias("n_keys"))
+
+
+@query("SELECT id FROM memory_index WHERE NOT coalesce(list_contains(source_sessions, (SELECT min(thread_id) FROM sessions)), false)")
+def deleted_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index without what the first session contributed to."""
+    first = table(spark, sf_dir, "sessions").agg(F.min("thread_id")).first()[0]
+    return merge.without_session(table(spark, sf_dir, "memory_index"), first).select("id")
 
 
 @query(
@@ -421,7 +462,7 @@ def record_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = _events(spark, sf_dir).where("key = 'view'").select(F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("id"), F.col("ts").alias("at"))
     by_owner = i.select(F.col("owner_id").alias("id"), F.col("id").alias("memory"), "last_accessed", "access_count", "consolidation_count")
     seen = views.groupBy("id").agg(F.count("*").alias("n"), F.max("at").alias("at"))
-    hits = by_owner.join(seen, "id").select(F.col("memory").alias("id"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_"), "at")
+    hits = by_owner.join(seen, "id").select(F.col("memory").alias("id"), "n", "at")
     return merge.record_access(i.select("id", "last_accessed", "access_count", "consolidation_count"), hits)
 
 
@@ -497,12 +538,12 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _searched(spark, sf_dir).select("query_id", t.keywords(F.col("q")).alias("keywords"))
+    q = _asked(spark, sf_dir).select("query_id", t.keywords(F.col("q")).alias("keywords"))
     return search.lexical(_files(spark, sf_dir), q, 10)
 
 
 _SEARCHED = _ASKED + " AND ('0x' || substr(query_id, 3, 8))::BIGINT % 100 = 0"
-_LEX = rf"""WITH q AS (SELECT query_id, unnest({_KEYS}) AS word FROM ({_SEARCHED})),
+_LEX = rf"""WITH q AS (SELECT query_id, unnest({_KEYS}) AS word FROM ({_ASKED})),
 f AS (SELECT uri, max(content) AS text FROM memories WHERE uri IS NOT NULL AND content IS NOT NULL GROUP BY uri),
 w AS (SELECT DISTINCT uri, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}+#]+')) AS word FROM f),
 h AS (SELECT query_id, uri, count(*) AS hits FROM w JOIN q USING (word) GROUP BY ALL),
@@ -515,7 +556,7 @@ def lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir)
 
 
-_LEX_SUB = _LEX.replace("FROM w JOIN q USING (word) GROUP BY", "FROM f JOIN q ON contains(lower(f.text), word) GROUP BY")
+_LEX_SUB = _LEX.replace(_ASKED, _SEARCHED).replace("FROM w JOIN q USING (word) GROUP BY", "FROM f JOIN q ON contains(lower(f.text), word) GROUP BY")
 
 
 @query(_LEX_SUB + "SELECT query_id, uri, hits, score FROM r WHERE n <= 10")
@@ -567,7 +608,7 @@ def archived_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _LEX
-    + rf""", k AS (SELECT query_id, {_KEYS} AS keys, {_ENTS} AS ents FROM ({_SEARCHED})),
+    + rf""", k AS (SELECT query_id, {_KEYS} AS keys, {_ENTS} AS ents FROM ({_ASKED})),
 b AS (SELECT r.query_id, r.uri, r.score, lower(left(f.text, 200)) AS s, keys, ents FROM r JOIN f USING (uri) JOIN k USING (query_id) WHERE n <= 10)
 SELECT query_id, uri, round(score + round(CASE WHEN ends_with(uri, '.md') AND NOT regexp_matches(uri, '/\.(abstract|overview)\.md$') THEN 0.12 ELSE -0.12 END
   + least(len(list_filter(keys, lambda x: contains(s, x))), 4) * 0.03 + least(len(list_filter(ents, lambda x: contains(s, lower(x)))), 3) * 0.05
@@ -577,7 +618,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword candidates of every asked query, re-ranked by path, keywords and entities of their snippet."""
     lex = _lexical(spark, sf_dir)
     files = _memories(spark, sf_dir, "uri", "content").where("uri IS NOT NULL AND content IS NOT NULL").groupBy("uri").agg(F.max("content").alias("text"))
-    q = _searched(spark, sf_dir).select("query_id", t.keywords(F.col("q")).alias("keys"), t.entities(F.col("q")).alias("ents"))
+    q = _asked(spark, sf_dir).select("query_id", t.keywords(F.col("q")).alias("keys"), t.entities(F.col("q")).alias("ents"))
     x = lex.join(files.select("uri", F.left("text", F.lit(200)).alias("snippet")), "uri").join(q, "query_id")
     return x.select("query_id", "uri", F.round(F.col("score") + search.rerank_bonus(F.col("uri"), F.col("snippet"), F.col("keys"), F.col("ents")), 6).alias("score"))
 
@@ -797,3 +838,152 @@ def layered_fallback_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     hits = search.top_k(_queries(e), e, 30)
     return search.first_tier(hits.where("query_id <> vec_id"), (0.45, 0.3), 10)
+
+
+# -- listings, scans and text of the tree ------------------------------------------------------------
+
+
+@query(
+    r"""WITH l AS (SELECT regexp_replace(uri, '/[^/]*$', '') AS dir, max(content) AS abstract FROM memories WHERE layer = 'L0' AND uri IS NOT NULL AND content IS NOT NULL GROUP BY 1)
+SELECT DISTINCT d.uri, regexp_replace(d.uri, '/[^/]*$', '') AS dir, sha256(coalesce(l.abstract, '')) AS abstract_hash FROM documents d LEFT JOIN l ON l.dir = regexp_replace(d.uri, '/[^/]*$', '')
+WHERE d.text IS NOT NULL AND regexp_matches(d.uri, '^\w+://user/') AND NOT starts_with(regexp_extract(d.uri, '([^/]*)$', 1), '.')"""
+)
+def recursive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All visible files of a dimension with the abstract of their directory."""
+    m = table(spark, sf_dir, "memories").where("layer = 'L0' AND uri IS NOT NULL AND content IS NOT NULL")
+    abstracts = m.groupBy(u.parent(F.col("uri")).alias("dir")).agg(F.max("content").alias("abstract"))
+    own = _documents(spark, sf_dir).select("uri").where(F.col("uri").rlike(r"^\w+://user/"))
+    return tree.recursive(own, abstracts).select("uri", "dir", F.sha2(F.coalesce("abstract", F.lit("")), 256).alias("abstract_hash")).distinct()
+
+
+@query("SELECT DISTINCT id, uri FROM memories WHERE uri IS NOT NULL AND contains(uri, '/timeline/') AND ends_with(uri, '.md') AND NOT starts_with(regexp_extract(uri, '([^/]*)$', 1), '.')")
+def message_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message files below a timeline, at any depth."""
+    return sessions.message_files(_memories(spark, sf_dir, "uri"))
+
+
+@query(r"SELECT DISTINCT id, lower(regexp_extract(content, '(?i)(?:^|\n)[^\n]*?ID:[ `*]*([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})', 1)) AS found FROM messages WHERE regexp_matches(content, '(?i)(?:^|\n)[^\n]*?ID:[ `*]*([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})')")
+def loose_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids written loosely in a text."""
+    m = table(spark, sf_dir, "messages").select("id", sessions.loose_id(F.col("content")).alias("found"))
+    return m.where("found IS NOT NULL").distinct()
+
+
+@query("SELECT DISTINCT m.id FROM messages m WHERE m.thread_id IS NOT NULL AND m.id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM memories v WHERE v.id = m.id)")
+def unindexed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages without a vector."""
+    m = table(spark, sf_dir, "messages").where("thread_id IS NOT NULL AND id IS NOT NULL")
+    return maintenance.unindexed(m, table(spark, sf_dir, "memories")).select("id").distinct()
+
+
+@query("SELECT id, uri FROM (SELECT DISTINCT id, uri, layer FROM memories WHERE layer = 'L2') ORDER BY id LIMIT 100")
+def filtered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred vectors of a layer, in order of id."""
+    return _memories(spark, sf_dir, "uri", "layer").where(MemoryFilter(layer="L2").column()).orderBy("id").limit(100).select("id", "uri")
+
+
+@query("SELECT q.id, v.id IS NOT NULL AS found, CASE WHEN v.id IS NOT NULL THEN 1.0::DOUBLE END AS score FROM (SELECT DISTINCT id FROM memory_index) q LEFT JOIN (SELECT DISTINCT id FROM memories) v USING (id)")
+def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index's ids looked up among the vectors."""
+    return maintenance.looked_up(table(spark, sf_dir, "memory_index").select("id").distinct(), _memories(spark, sf_dir))
+
+
+@query(
+    r"""WITH x AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?s)(\n\n)?\*\*Added\*\*:.*$', ''), '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, strlen(t)::BIGINT AS n_bytes FROM x WHERE strlen(t) > 2000"""
+)
+def oversized_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are too long for an abstract, in bytes."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", F.octet_length(t.without_added(F.col("text"))).cast("long").alias("n_bytes")).where("n_bytes > 2000")
+
+
+@query(
+    _SENT
+    + """, d AS (SELECT thread_id, strftime(sent, '%Y-%m') AS month, strftime(sent, '%d') AS day, count(*) AS n, string_agg('- ' || strftime(sent, '%H:%M:%S') || ' ' || left(id, 8), chr(10) ORDER BY sent, id) AS entries FROM m WHERE sent IS NOT NULL GROUP BY ALL)
+SELECT thread_id, month, day, sha256('# ' || month || '-' || day || chr(10) || chr(10) || '**Messages**: ' || n || chr(10) || chr(10) || entries || chr(10)) AS index_hash FROM d"""
+)
+def daily_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered index of every day of every thread."""
+    d = sessions.daily_index(_sent(spark, sf_dir).select("thread_id", "id", "at"))
+    return d.select("thread_id", "month", "day", F.sha2("markdown", 256).alias("index_hash"))
+
+
+@query(
+    _SENT
+    + """, d AS (SELECT thread_id, strftime(sent, '%Y-%m') AS month, strftime(sent, '%d') AS day, count(*) AS n FROM m WHERE sent IS NOT NULL GROUP BY ALL)
+SELECT thread_id, month, sha256('# ' || month || chr(10) || chr(10) || '**Messages**: ' || sum(n) || chr(10) || chr(10) || string_agg('- ' || day || ': ' || n, chr(10) ORDER BY day) || chr(10)) AS index_hash FROM d GROUP BY thread_id, month
+UNION ALL SELECT thread_id, left(month, 4), sha256('# ' || left(month, 4) || chr(10) || chr(10) || string_agg('- ' || month, chr(10) ORDER BY month) || chr(10)) FROM (SELECT DISTINCT thread_id, month FROM d) GROUP BY thread_id, left(month, 4)"""
+)
+def monthly_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered indexes of every month and year of every thread; a year's month is the year alone."""
+    return sessions.period_indexes(_sent(spark, sf_dir).select("thread_id", "id", "at")).select("thread_id", "month", F.sha2("markdown", 256).alias("index_hash"))
+
+
+@query(
+    _SENT
+    + """, r AS (SELECT thread_id, content, sent, id, row_number() OVER (PARTITION BY thread_id ORDER BY sent, id) AS n, count(*) OVER (PARTITION BY thread_id) AS total FROM m WHERE sent IS NOT NULL AND content IS NOT NULL),
+p AS (SELECT thread_id, n, total, chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Message: ' || left(id, 8) || chr(10) || chr(10) || content AS part FROM r),
+b AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY thread_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+c AS (SELECT thread_id, '# Timeline Messages: ' || any_value(total) || string_agg(part, '' ORDER BY n) AS c FROM b WHERE before <= 15000 GROUP BY thread_id)
+SELECT thread_id, sha256(CASE WHEN length(c) > 15000 THEN left(c, 15000) || chr(10) || chr(10) || '[...]' ELSE c END) AS content_hash FROM c"""
+)
+def timeline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every thread that its layers are made from."""
+    return sessions.timeline_text(_sent(spark, sf_dir).where("content IS NOT NULL")).select("thread_id", F.sha2("content", 256).alias("content_hash"))
+
+
+@query(
+    r"""WITH d AS (SELECT DISTINCT regexp_replace(uri, '/[^/]*$', '') AS dir FROM documents WHERE uri IS NOT NULL),
+l AS (SELECT regexp_replace(uri, '/[^/]*$', '') AS dir, bool_or(layer = 'L0') AND bool_or(layer = 'L1') AS ok FROM memories WHERE uri IS NOT NULL AND layer IS NOT NULL GROUP BY 1)
+SELECT count(*) AS n_dirs, count(*) FILTER (coalesce(ok, false)) AS n_complete, count(*) FILTER (NOT coalesce(ok, false)) AS n_missing,
+  CASE WHEN count(*) = 0 THEN 100 ELSE count(*) FILTER (coalesce(ok, false)) * 100 // count(*) END AS percent FROM d LEFT JOIN l USING (dir)"""
+)
+def layer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many document directories have both layers."""
+    d = table(spark, sf_dir, "documents").where("uri IS NOT NULL").select(u.parent(F.col("uri")).alias("dir")).distinct()
+    m = table(spark, sf_dir, "memories").where("uri IS NOT NULL AND layer IS NOT NULL").select(u.parent(F.col("uri")).alias("dir"), "layer")
+    return tree.coverage_totals(d, m)
+
+
+@query(
+    rf"""WITH s AS (SELECT {_SEG.format('uri')} AS s, uri FROM documents WHERE text IS NOT NULL AND uri IS NOT NULL)
+SELECT s[1] AS dimension, count(DISTINCT regexp_replace(uri, '/[^/]*$', '')) AS n_dirs, count(*) AS n_files, count(*) FILTER (contains(uri, '/timeline/')) AS n_messages,
+  count(*) FILTER (regexp_matches(uri, '/timeline/[^/]*$')) AS n_direct FROM s GROUP BY 1"""
+)
+def dimension_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories, files and messages of every dimension; messages at any depth and directly below a timeline."""
+    return tree.dimensions(_documents(spark, sf_dir).where("uri IS NOT NULL").select("uri"))
+
+
+# -- intents and semantic search ---------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', {a / (a + b + c)!r}::DOUBLE, {b / (a + b + c)!r}::DOUBLE, {c / (a + b + c)!r}::DOUBLE, {t0!r}::DOUBLE)" for i, a, b, c, t0 in search.INTENT_RULES) + ") r(intent, w0, w1, w2, threshold)")
+def intent_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights and threshold of every intent, the weights summing to one."""
+    return search.normalised(search.intent_rules(table(spark, sf_dir, "region")))
+
+
+_PLACED = "CASE coalesce(layer, 'L2') WHEN 'L2' THEN 0.08 WHEN 'L1' THEN -0.04 WHEN 'L0' THEN -0.08 ELSE 0 END"
+
+
+@query(
+    rf"""WITH v AS (SELECT id, max_by(struct_pack(e := embedding::DOUBLE[], uri := uri, layer := layer, c := content), ingested_at) AS x FROM memories WHERE embedding IS NOT NULL AND len(embedding) = 64 GROUP BY id),
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, id, round(list_cosine_similarity(q.e, x.e), 6) AS score FROM q, v WHERE list_sum(list_transform(x.e, lambda y: abs(y))) > 0),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s) WHERE n <= 30 AND score >= 0.2),
+c AS (SELECT query_id, coalesce(x.uri, k.id) AS uri, regexp_replace(coalesce(x.uri, k.id), '/\.(abstract|overview)\.md$', '') AS canonical, score, x.layer AS layer FROM k JOIN v USING (id)),
+b AS (SELECT query_id, uri, canonical, round(score + {_PLACED} + round(CASE WHEN ends_with(canonical, '.md') THEN 0.12 ELSE -0.12 END
+  + CASE WHEN regexp_matches(lower(canonical), '/(entities|events|goals|relationships)$') THEN -0.14 WHEN contains(lower(canonical), '/entities/') THEN -0.08 ELSE 0 END, 6), 6) AS score FROM c),
+d AS (SELECT query_id, canonical AS uri, max(score) AS score FROM b GROUP BY ALL),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uri) AS n FROM d) WHERE n <= 10),
+o AS (SELECT *, {_SEG.format('uri')} AS s FROM t)
+SELECT query_id, uri, score FROM o WHERE NOT (coalesce(len(s), 0) >= 3 AND EXISTS (SELECT 1 FROM memory_index i WHERE i.archived AND i.owner_id = o.s[2] AND i.id = regexp_replace(o.s[-1], '\.md$', '')))"""
+)
+def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector search over all layers, re-ranked, one result for each canonical URI, archived memories dropped after the cut."""
+    m = table(spark, sf_dir, "memories").where("embedding IS NOT NULL AND size(embedding) = 64").select("id", "embedding", "uri", "layer", "content", "ingested_at")
+    v = merge.latest(m, ["id"], [F.col("ingested_at")]).withColumnRenamed("id", "vec_id")
+    q = _queries(table(spark, sf_dir, "embeddings"))
+    return search.semantic(q, v, table(spark, sf_dir, "memory_index"), threshold=0.2, limit=10)

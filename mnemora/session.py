@@ -25,10 +25,12 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """Use the shared folder the cluster names; a temporary one only where none is set on a local master (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mnemora-checkpoint-"))
 
 

@@ -66,14 +66,15 @@ def plain_cases(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     block = raw.select(F.posexplode(F.split("value", r"(?m)^---\n")).alias("block_no", "text"))
     asked = F.col("text").startswith("eval:")
-    return block.where(F.trim("text") != "").select("block_no", F.when(asked, "eval").otherwise("message").alias("kind"), F.trim(F.regexp_replace("text", "^eval:|\n+$", "")).alias("text"))
+    bare = F.regexp_replace(F.regexp_replace("text", r"^eval:", ""), r"^\s+|\s+$", "")
+    return block.where(F.col("text").rlike(r"\S")).select("block_no", F.when(asked, "eval").otherwise("message").alias("kind"), bare.alias("text"))
 
 
 def answers(spark: SparkSession, path: str) -> DataFrame:
     """Graded answers, JSON lines or an array: question, category, grade, seconds, tokens."""
     fields = "question: STRING, category: INT, grade: BOOLEAN, time_cost: DOUBLE, token_usage: STRUCT<prompt_tokens: BIGINT, completion_tokens: BIGINT, total_tokens: BIGINT>"
     raw = spark.read.text(path, wholetext=True)
-    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split("value", "\n"), lambda x: x.rlike(r"\S"))
     whole = F.from_json("value", f"ARRAY<STRUCT<{fields}>>")
     items = F.explode(F.when(F.trim("value").startswith("["), whole).otherwise(F.transform(lines, lambda x: F.from_json(x, f"STRUCT<{fields}>"))))
     return raw.select(items.alias("r")).select("r.question", "r.category", F.col("r.grade").alias("correct"), F.col("r.time_cost").alias("seconds"), F.col("r.token_usage.total_tokens").alias("tokens"))

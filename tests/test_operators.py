@@ -28,6 +28,16 @@ def test_top_k_is_exact_over_blocks(spark, monkeypatch):
     assert search.top_k(q.limit(0), v, 5).count() == 0
 
 
+def test_top_k_of_mixed_lengths(spark):
+    rows = [(i, np.random.default_rng(i).normal(size=8).tolist()) for i in range(20)]
+    v = spark.createDataFrame(rows + [(99, [1.0] * 9), (98, [1.0] * 7 + [None])], "vec_id long, embedding array<double>")
+    q = v.where("vec_id < 3 OR vec_id = 99").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = search.top_k(q, v, 5).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {0: 5, 1: 5, 2: 5, 99: 1}
+    named = search.top_k(q, v.withColumn("vec_id", F.concat(F.lit("v"), "vec_id")), 1)
+    assert {(r["query_id"], r["vec_id"]) for r in named.collect()} == {(0, "v0"), (1, "v1"), (2, "v2"), (99, "v99")}
+
+
 def test_filters(spark):
     rows = [("a", ["t1", "t2"], 0.5, "L2", "mem://user/x", {"k": "value"}), ("b", ["t1"], 0.8, "L2", None, None), ("c", None, None, None, "mem://agent/y", {"k": "other"})]
     df = spark.createDataFrame(rows, "id string, topics array<string>, importance_score double, layer string, uri string, custom map<string,string>")
@@ -45,7 +55,8 @@ def test_merge(spark):
     x = spark.createDataFrame(items, "owner_id string, memory_type string, key_name string, content_hash string, summary string, confidence double, session string, ordinal long")
     got = {r["key_name"]: r for r in merge.merge_actions(index, x).collect()}
     assert {k: r["action"] for k, r in got.items()} == {"k1": "update", "k2": "update", "k3": "keep", "k4": "create"}
-    assert got["k4"]["confidence"] == 0.9 and got["k4"]["n_items"] == 2 and got["k4"]["sessions"] == ["s1", "s2"]
+    assert got["k4"]["confidence"] == 0.9 and got["k4"]["n_items"] == 2 and got["k4"]["n_sessions"] == 2
+    assert merge.links(x).count() == 5
     assert merge.merge_actions(index, x.limit(0)).count() == 0
 
 
@@ -58,7 +69,9 @@ def test_record_access_matches_event_by_event(spark):
         want[i][0] += 1
         want[i][1] += want[i][0] % 5 == 0
     df = spark.createDataFrame(index, "id string, last_accessed timestamp, access_count long, consolidation_count long")
-    got = merge.record_access(df, spark.createDataFrame(hits, "id string, at timestamp")).collect()
+    seen = spark.createDataFrame([(i, 1, at) for i, at in hits], "id string, n long, at timestamp")
+    got = merge.record_access(df, seen).collect()
+    assert got == merge.record_access(df, seen.groupBy("id").agg(F.sum("n").alias("n"), F.max("at").alias("at"))).collect()
     assert {r["id"]: [r["access_count"], r["consolidation_count"]] for r in got} == want
 
 

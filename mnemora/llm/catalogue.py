@@ -148,6 +148,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.record_pairs(_contents(spark, sf_dir)).select("table_name", "a_id", "b_id")
 
 
+_BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+"
+ORACLES["p5_found"] = rf"""
+WITH r AS (SELECT DISTINCT table_name, record_id, norm FROM (
+  SELECT 'facts' AS table_name, fact_id AS record_id, trim(regexp_replace(lower(content), '{_BLANK}', ' ', 'g'), ' ') AS norm FROM facts
+  UNION ALL SELECT 'memories', id, trim(regexp_replace(lower(content), '{_BLANK}', ' ', 'g'), ' ') FROM memories)
+  WHERE record_id IS NOT NULL AND length(norm) >= 4),
+g AS (SELECT DISTINCT table_name, record_id, substr(norm, i, 4) AS gram FROM (SELECT *, unnest(range(1, length(norm) - 2)) AS i FROM r)),
+n AS (SELECT table_name, record_id, count(*) AS n FROM g GROUP BY ALL),
+s AS (SELECT a.table_name, a.record_id AS a_id, b.record_id AS b_id, count(*) AS shared FROM g a JOIN g b ON a.table_name = b.table_name AND a.gram = b.gram AND a.record_id < b.record_id GROUP BY ALL)
+SELECT s.table_name, a_id, b_id FROM s JOIN n x ON x.table_name = s.table_name AND x.record_id = a_id JOIN n y ON y.table_name = s.table_name AND y.record_id = b_id
+WHERE shared >= 0.7 * (x.n + y.n - shared)
+"""
+
+
 @query
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with its group and its number of links."""

@@ -160,6 +160,22 @@ def _bursts(times, gap, cap):
     return [*out, (first, min(last + gap, first + cap), n)]
 
 
+def test_runs_over_many_batches_equal_session_windows(spark):
+    rnd = random.Random(8)
+    rows = [("hot" if rnd.random() < 0.6 else rnd.choice("abc"), T + dt.timedelta(seconds=3 * rnd.randrange(7000))) for _ in range(3000)] + [("x", None), (None, T), (None, T + dt.timedelta(seconds=5))]
+    df = spark.createDataFrame(rows, "key string, ts timestamp")
+    small = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(small)
+    spark.conf.set(small, "50")
+    try:
+        got = sorted(map(repr, (tuple(r) for r in windows.debounce(df, "20 seconds").collect())))
+    finally:
+        spark.conf.set(small, old)
+    session = df.groupBy("key", F.session_window("ts", "20 seconds").alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("first"))
+    assert got == sorted(map(repr, (tuple(r) for r in session.where("w IS NOT NULL").select("key", "first", "w.end", "n").collect())))
+    assert windows.debounce(df.limit(0), "20 seconds").count() == 0
+
+
 def test_debounce_capped_against_brute_force(spark):
     rnd = random.Random(3)
     times = {k: [rnd.randrange(0, 4000) for _ in range(120)] for k in "abc"}

@@ -131,6 +131,46 @@ def test_keywords_within_words(spark, monkeypatch):
     assert search.lexical_substrings(files, q.limit(0)).count() == 0
 
 
+def _by_words(files, queries, limit):
+    """Brute force of the keyword search."""
+    words = {u: set(t.lower().split()) for u, t in files if t is not None}
+    asked = {}
+    for i, k in queries:
+        asked.setdefault(i, []).extend(set(k or []) - {None})
+    out = set()
+    for i, k in asked.items():
+        hits = sorted(((-min(n, 6), u, n) for u, w in words.items() if (n := sum(x in w for x in k))))
+        out |= {(i, u, n, round(0.13 + 0.05 * min(n, 6), 6)) for _, u, n in hits[:limit]}
+    return out
+
+
+def test_lexical_is_exact(spark, monkeypatch):
+    rnd = random.Random(5)
+    text = lambda: " ".join({rnd.choice(["the", "and", "for", "was"]) for _ in range(4)} | {f"w{int(60 * rnd.random() ** 3)}" for _ in range(rnd.randrange(14))})
+    files = [*((f"mem://user/{rnd.random()}.md", text()) for _ in range(400)), ("null", None), ("empty", ""), ("large", " ".join(f"w{i}" for i in range(60)))]
+    queries = [*((f"q{n}", text().split()) for n in range(150)), ("q7", ["the", "w1"]), ("q7", ["the", "w2"]), (None, ["and"]), ("none", []), ("null", None), ("holes", [None, "was", "was"]), ("absent", ["xyz"]), ("many", [f"w{i}" for i in range(60)])]
+    f, q = spark.createDataFrame(files, "uri string, text string"), spark.createDataFrame(queries, "query_id string, keywords array<string>")
+    got = lambda n, q=q, f=f: sorted(map(str, search.lexical(f, q, n).collect()))
+    rows = lambda n: sorted(f"Row(query_id={i!r}, uri={u!r}, hits={h}, score={s})" for i, u, h, s in _by_words(files, queries, n))
+    assert got(10) == rows(10)
+    assert got(10, q.limit(0)) == got(10, q, f.limit(0)) == []
+    for small in ({"SPARSE": 1}, {"SPARSE": 10**9, "COUNTED": 50}, {"BITMAP_BYTES": 8 * 7 * 3}, {"CELL_WORDS": 500, "CELL_ASKED": 40}, {"ASKED_WORDS": 60}):
+        with monkeypatch.context() as m:
+            for k, v in small.items():
+                m.setattr(search, k, v)
+            assert got(3) == rows(3), small
+
+
+def test_lexical_lists_no_pairs(spark):
+    # Ten words that all share: 250 million matches, of which the joins that were here once list every one.
+    common = [f"common{i}" for i in range(10)]
+    files = spark.range(5000).select(F.format_string("u%05d", "id").alias("uri"), F.lit(" ".join(common)).alias("text"))
+    queries = spark.range(5000).select(F.col("id").cast("string").alias("query_id"), F.array(*map(F.lit, common)).alias("keywords"))
+    found = search.lexical(files, queries, 2)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.groupBy("uri", "hits", "score").count().orderBy("uri").collect()] == [("u00000", 10, 0.43, 5000), ("u00001", 10, 0.43, 5000)]
+
+
 def test_hybrid_cuts_after_the_rerank(spark):
     q = spark.createDataFrame([("q", ["garden"], ["Ada"])], "query_id string, keywords array<string>, entities array<string>")
     tied = [("q", f"mem://user/u/a{i:02d}", 0.18, "a garden") for i in range(12)]

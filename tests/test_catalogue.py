@@ -50,3 +50,9 @@ def test_entry(spark):
 
 def test_queries_without_sql_are_known():
     assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"debounce_capped", "layer_rebuild"}
+
+
+@pytest.mark.parametrize("name", ["hybrid_search"])
+def test_keyword_searches_join_no_words(spark, sf001, name):
+    # Such a join listed every pair of a query and a file that share a word.
+    assert "Join [word#" not in entry.queries()[name](spark, sf001)._jdf.queryExecution().executedPlan().toString()

@@ -52,7 +52,23 @@ def test_queries_without_sql_are_known():
     assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"debounce_capped", "layer_rebuild"}
 
 
-@pytest.mark.parametrize("name", ["hybrid_search"])
+@pytest.mark.parametrize("name", ["hybrid_search", "lexical_scan"])
 def test_keyword_searches_join_no_words(spark, sf001, name):
     # Such a join listed every pair of a query and a file that share a word.
     assert "Join [word#" not in entry.queries()[name](spark, sf001)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["access_events", "hybrid_search", "lexical_scan"])
+def test_keyword_searches_of_odd_rows_equal_sql(spark, tmp_path, name):
+    words = "Alpha bravo charlie delta echo foxtrot golf hotel india".split()
+    texts = [None, "", "alpha", "ALPHA bravo", " ".join(words), "Straße C++ ÉTÉ c#", *(" ".join(words[: n % 9]) + f" rare{n}" for n in range(40))]
+    memories = pd.DataFrame([(f"m{i}", f"mem://user/u{i % 3}/{'entities/' * (i % 2)}{i % 41}.md", t) for i, t in enumerate(texts)] + [("x", None, "alpha"), ("y", "mem://user", "alpha bravo charlie"), ("z", "Ä", "rare1")], columns=["id", "uri", "content"])
+    asked = [("a", "alpha BRAVO"), ("a", "alpha bravo Charlie"), ("a", "alpha BRAVO"), ("b", " ".join(words) * 2), ("b2", " ".join(words)), ("c", "été straße c++ c#"), ("d", ""), ("e", None), ("f", "nothing"), ("g", "rare7 rare8, rare7 golf"), ("h", "India? rare39")]
+    intents = pd.DataFrame(asked, columns=["query_id", "original_query"])
+    for n, df in (("memories", memories), ("query_intents", intents)):
+        df.to_parquet(tmp_path / f"{n}.parquet")
+    c = duckdb.connect()
+    for n in ("memories", "query_intents"):
+        c.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{tmp_path}/{n}.parquet')")
+    want = _rows(c.execute(entry.oracle_sql()[name]).df())
+    assert want and _rows(entry.queries()[name](spark, str(tmp_path)).toPandas()) == want

@@ -72,3 +72,23 @@ def test_keyword_searches_of_odd_rows_equal_sql(spark, tmp_path, name):
         c.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{tmp_path}/{n}.parquet')")
     want = _rows(c.execute(entry.oracle_sql()[name]).df())
     assert want and _rows(entry.queries()[name](spark, str(tmp_path)).toPandas()) == want
+
+
+def test_hybrid_search_shuffles_no_whole_text_for_the_rerank(spark, sf001):
+    # Its plan read every text again, told all rows apart by it, and lowered the snippet anew for each word.
+    plan = entry.queries()["hybrid_search"](spark, sf001)._jdf.queryExecution().executedPlan().toString()
+    assert "max(substring(content#" in plan and "max(content#" not in plan
+    assert "Contains(lower(" not in plan
+
+
+def test_hybrid_search_of_files_with_several_texts_equals_sql(spark, tmp_path):
+    same = "Alpha " + "é" * 194  # 200 characters, more bytes
+    texts = {"a": ["alpha bravo", "alpha charlie", None], "b": [same + " bravo", same + " charlie", same], "c": ["alpha \U0001f600 bravo", "alpha ～ charlie"], "d": ["", "Alpha"], "e": [same[:-1] + "ê", same + "z Charlie"]}
+    rows = [(f"{k}{i}", f"mem://user/u/{'entities/' if k == 'c' else ''}{k}.md", t) for k, some in texts.items() for i, t in enumerate(some)]
+    pd.DataFrame([*rows, *rows[:4]], columns=["id", "uri", "content"]).to_parquet(tmp_path / "memories.parquet")
+    pd.DataFrame([("p", "Alpha Bravo"), ("q", "charlie, Alpha?"), ("q", "ALPHA charlie"), ("r", "É Charlie")], columns=["query_id", "original_query"]).to_parquet(tmp_path / "query_intents.parquet")
+    c = duckdb.connect()
+    for n in ("memories", "query_intents"):
+        c.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{tmp_path}/{n}.parquet')")
+    want = _rows(c.execute(entry.oracle_sql()["hybrid_search"]).df())
+    assert len(want) > 10 and _rows(entry.queries()["hybrid_search"](spark, str(tmp_path)).toPandas()) == want

@@ -171,6 +171,14 @@ def test_lexical_lists_no_pairs(spark):
     assert [tuple(r) for r in found.groupBy("uri", "hits", "score").count().orderBy("uri").collect()] == [("u00000", 10, 0.43, 5000), ("u00001", 10, 0.43, 5000)]
 
 
+def test_lexical_gives_every_cell_a_partition(spark):
+    # By the hash of their cell several of them met in one partition, which took as long as all of them.
+    files = spark.range(50).select(F.format_string("u%02d", "id").alias("uri"), F.lit("one two").alias("text"))
+    queries = spark.range(1100).select(F.col("id").cast("string").alias("query_id"), F.array(F.lit("one")).alias("keywords"))
+    plan = search.lexical(files, queries, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "direct_shuffle_partition_id(cell" in plan and "hashpartitioning(cell" not in plan and "hashpartitioning(qb" not in plan
+
+
 def test_hybrid_cuts_after_the_rerank(spark):
     q = spark.createDataFrame([("q", ["garden"], ["Ada"])], "query_id string, keywords array<string>, entities array<string>")
     tied = [("q", f"mem://user/u/a{i:02d}", 0.18, "a garden") for i in range(12)]

@@ -171,6 +171,14 @@ def test_lexical_lists_no_pairs(spark):
     assert [tuple(r) for r in found.groupBy("uri", "hits", "score").count().orderBy("uri").collect()] == [("u00000", 10, 0.43, 5000), ("u00001", 10, 0.43, 5000)]
 
 
+def test_places_by_number():
+    rng = np.random.default_rng(2)
+    for most in (1, 50, 1 << 16, 1 << 20, 1 << 31):
+        x = rng.integers(0, most, 3000).astype(np.int32)
+        assert (search._by_number(x) == np.argsort(x, kind="stable")).all()
+    assert len(search._by_number(x[:0])) == 0
+
+
 def test_lexical_gives_every_cell_a_partition(spark):
     # By the hash of their cell several of them met in one partition, which took as long as all of them.
     files = spark.range(50).select(F.format_string("u%02d", "id").alias("uri"), F.lit("one two").alias("text"))
